@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15 | 1)
@@ -118,7 +119,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     index = batch.schema.get_field_index(column)
     texts = batch.column(index)
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
     texts = texts.cast(pa.large_string())
     if not len(texts):
         return
