@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("decontam", "licenses", "mixing", "quality", "simhash", "sketch", "tokens")
+MODULES = ("decontam", "langid", "licenses", "mixing", "quality", "simhash", "sketch", "tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
