@@ -174,3 +174,47 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of True."""
     d = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def sliding_max(x: np.ndarray, width: int) -> np.ndarray:
+    """Maximum of every ``width`` consecutive values."""
+    return ~sliding_min(~x, width)
+
+
+def window_runs(shingles: np.ndarray, row: np.ndarray, valid: np.ndarray, width: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut the windows of all rows into runs by the minimum of their shingle hashes.
+
+    ``shingles`` has the hash of the shingle at every position, a window is
+    ``width`` consecutive shingles, ``row`` and ``valid`` tell for the window at
+    each position its row and whether it lies inside one.  Windows that are
+    equal have equal minima, so only windows of runs with equal minima can be
+    equal.  Returns for each run of at most ``longest`` windows its minimum,
+    first position, length, and how often the minimum occurs in its shingles.
+    """
+    low = sliding_min(shingles, width)
+    n = len(low)
+    if not n or not valid[:n].any():
+        z = np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=U64), z, z, z
+    row, valid = row[:n], valid[:n]
+    new = np.ones(n, dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | ~valid[:-1] | (row[1:] != row[:-1])
+    edge = np.flatnonzero(new | ~valid)
+    size = np.diff(np.append(edge, n))
+    keep = valid[edge]
+    edge, size = edge[keep], size[keep]
+    if len(size) and size.max() > longest:
+        pieces = (size + longest - 1) // longest
+        of = np.repeat(np.arange(len(size)), pieces)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        edge, size = edge[of] + k * longest, np.minimum(longest, size[of] - k * longest)
+    key = low[edge]
+    # positions whose shingle is the minimum of a window there
+    best = np.where(valid, low, U64(0))
+    best = sliding_max(np.concatenate([np.zeros(width - 1, dtype=U64), best, np.zeros(width - 1, dtype=U64)]), width)[: len(shingles)]
+    at = np.flatnonzero((best == shingles) & (best > 0))
+    value, which = np.unique(shingles[at], return_inverse=True)
+    spot = np.sort(which.astype(np.int64) << 40 | at)
+    of = np.searchsorted(value, key).astype(np.int64) << 40
+    times = np.searchsorted(spot, of | (edge + size + width - 1)) - np.searchsorted(spot, of | edge)
+    return key, edge, size, times
