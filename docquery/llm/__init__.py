@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("decontam", "langid", "licenses", "mixing", "quality", "simhash", "sketch", "suffix", "tokens")
+MODULES = ("decontam", "langid", "licenses", "mixing", "quality", "simhash", "sketch", "substring", "suffix", "tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
