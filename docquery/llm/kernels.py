@@ -164,9 +164,7 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Mask over 0..n-1 of the positions inside any of the ranges."""
-    d = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + lengths, n), -1)
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + lengths, n), minlength=n + 1)
     return np.cumsum(d[:n]) > 0
 
 

@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, table
-from docquery.llm.kernels import byte_table, covered, prefix_hash, range_hash, rolling_hash, runs_of, slices, window_runs
+from docquery.llm.kernels import byte_table, covered, mix, prefix_hash, range_hash, rolling_hash, runs_of, slices, window_runs
 
 GRAM = 64
 CARRIER = 256
-SUFFIXES = 120_000
+SUFFIXES = 100_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,100 +69,119 @@ def carriers(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(run, "m long, ch long, times int, id long, h long, lo int, n int")
 
 
-def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Stack scan: (first, last, depth) of every interval of suffixes with common prefixes of ``least`` or more, shallower before deeper.
+def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Stack scan: (first, last, depth) of every maximal repeat group, shallower before deeper.
 
-    lcp[i] is the common prefix of suffixes i and i + 1.
+    lcp[i] is the common prefix of suffixes i and i + 1; left[i] is the byte
+    before suffix i, or 256 where a carrier begins.  A group is an interval of
+    suffixes with common prefixes of ``least`` or more whose left bytes
+    differ; a stretch of suffixes that all follow the same byte has no group
+    and is passed over without a scan.
     """
+    change = np.zeros(len(left), dtype=np.int64)
+    change[1:] = np.cumsum((left[1:] != left[:-1]) | (left[1:] == 256))
+    open_ = left == 256
+    starts, ends = runs_of(lcp >= least)
     out: list[tuple[int, int, int]] = []
-    high = lcp >= least
-    starts, ends = runs_of(high)
     if not len(starts):
         return out
-    low = np.minimum.reduceat(lcp, np.stack([starts, ends], 1).ravel()[: 2 * len(starts) - (ends[-1] == len(lcp))])[::2]
-    top = np.maximum.reduceat(lcp, np.stack([starts, ends], 1).ravel()[: 2 * len(starts) - (ends[-1] == len(lcp))])[::2]
-    for a, z, x, y in zip(starts.tolist(), ends.tolist(), low.tolist(), top.tolist(), strict=True):
-        if x == y:
-            out.append((a, z, x))
-            continue
+    diverse = (change[ends] > change[starts]) | open_[starts]
+    cuts = np.stack([starts, ends], 1).ravel()[: 2 * len(starts) - int(ends[-1] == len(lcp))]
+    low, top = np.minimum.reduceat(lcp, cuts)[::2], np.maximum.reduceat(lcp, cuts)[::2]
+    flat = diverse & (low == top)
+    out += zip(starts[flat].tolist(), ends[flat].tolist(), low[flat].tolist(), strict=True)
+    deep = diverse & (low < top)
+    for a, z in zip(starts[deep].tolist(), ends[deep].tolist(), strict=True):
+        steps = change[a : z + 1].tolist()
+        first = open_[a : z + 1].tolist()
         stack: list[tuple[int, int]] = []
-        values = lcp[a:z].tolist()
-        for i, d in enumerate([*values, 0], start=a):
-            left = i
+        for i, d in enumerate([*lcp[a:z].tolist(), 0]):
+            begin = i
             while stack and stack[-1][1] > d:
-                left, depth = stack.pop()
-                out.append((left, i, depth))
+                begin, depth = stack.pop()
+                if steps[i] > steps[begin] or first[begin]:
+                    out.append((a + begin, a + i, depth))
             if d and (not stack or stack[-1][1] < d):
-                stack.append((left, d))
+                stack.append((begin, d))
     out.sort(key=lambda t: t[2])
     return out
 
 
 class SuffixArray:
-    """Enhanced suffix array over the carriers of one or more buckets."""
+    """Enhanced suffix array over the carriers of one or more buckets.
 
-    def __init__(self, texts: list[bytes], n: np.ndarray, bucket: np.ndarray) -> None:
+    It holds the suffixes that share their first ``least`` bytes with another
+    of their bucket; these are ranked by a 128-bit hash of that prefix and,
+    inside such an interval, by the bytes that follow.
+    """
+
+    def __init__(self, texts: list[bytes], n: np.ndarray, bucket: np.ndarray, least: int) -> None:
         """n: windows of each carrier; bucket: its bucket's number."""
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.data = data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         size = np.array([len(t) for t in texts])
-        base = np.cumsum(size) - size
-        self.carrier = np.repeat(np.arange(len(texts)), n)
-        self.offset = np.arange(len(self.carrier)) - np.repeat(np.cumsum(n) - n, n)
-        start = base[self.carrier] + self.offset
-        have = size[self.carrier] - self.offset
-        width = int(have.max())
-        at = np.minimum(start[:, None] + np.arange(width), len(data) - 1)
-        keys = np.empty((len(start), width + 4), dtype=np.uint8)
-        keys[:, :4] = bucket[self.carrier].astype(">u4").view(np.uint8).reshape(-1, 4)
-        keys[:, 4:] = data[at]
-        keys[:, 4:][np.arange(width) >= have[:, None]] = 0
-        order = np.argsort(keys.view(f"S{width + 4}").ravel(), kind="stable")
-        self.carrier, self.offset, have = self.carrier[order], self.offset[order], have[order]
+        self.base = np.cumsum(size) - size
+        carrier = np.repeat(np.arange(len(texts)), n)
+        offset = np.arange(len(carrier)) - np.repeat(np.cumsum(n) - n, n)
+        start = self.base[carrier] + offset
+        h = range_hash(prefix_hash(byte_table(21)[data]), start, start + least) ^ mix(bucket[carrier].astype(np.uint64))
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(order), dtype=bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        order = order[twice]
+        carrier, offset, start, h = carrier[order], offset[order], start[order], h[order]
+        have = size[carrier] - offset - least
+        width = int(have.max()) if len(have) else 0
+        padded = np.concatenate([data, np.zeros(width + 1, dtype=np.uint8)])
+        keys = np.empty((len(start), width + 17), dtype=np.uint8)
+        keys[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+        keys[:, 8:16] = range_hash(prefix_hash(byte_table(22)[data]), start, start + least).astype(">u8").view(np.uint8).reshape(-1, 8)
+        keys[:, 16:] = np.lib.stride_tricks.sliding_window_view(padded, width + 1)[start + least]
+        keys[:, 16:][np.arange(width + 1) >= have[:, None]] = 0
+        order = np.argsort(keys.view(f"S{width + 17}").ravel(), kind="stable")
+        self.carrier, self.offset, self.start, have = carrier[order], offset[order], start[order], have[order]
         keys = keys[order]
         differ = keys[1:] != keys[:-1]
-        lcp = np.where(differ.any(1), differ.argmax(1) - 4, width)
-        self.lcp = np.minimum(np.maximum(lcp, 0), np.minimum(have[1:], have[:-1]))
+        common = np.where(differ.any(1), differ.argmax(1), width + 17) - 16
+        self.lcp = np.where(common < 0, 0, least + np.minimum(np.maximum(common, 0), np.minimum(have[1:], have[:-1])))
         #: The byte to the left; 256 at a carrier's begin, which differs from every other.
-        self.left = np.where(self.offset > 0, data[np.maximum(start[order] - 1, 0)].astype(np.int16), 256)
-        self.keys = keys
-
-    def maximal(self, least: int) -> Iterator[tuple[int, int, int]]:
-        """The intervals with left-extension diversity: the maximal repeat groups."""
-        change = np.zeros(len(self.left), dtype=np.int64)
-        change[1:] = np.cumsum((self.left[1:] != self.left[:-1]) | (self.left[1:] == 256))
-        for a, z, depth in intervals(self.lcp, least):
-            if change[z] > change[a] or self.left[a] == 256:
-                yield a, z, depth
-
-
-def _spans(sa: SuffixArray, n_carriers: int, rank: np.ndarray, least: int, groups: bool) -> tuple[list[list[int]], list[list[int]], list[list[tuple[int, int, int]]]]:
+        self.left = np.where(self.offset > 0, data[np.maximum(self.start - 1, 0)].astype(np.int16), 256)
+
+
+def _lists(sa: SuffixArray, cover: np.ndarray, n_carriers: int) -> pa.Array:
+    """For each carrier the union of [offset, offset + cover), as start, end, start, end."""
+    own = np.flatnonzero(cover)
+    mask = covered(len(sa.data), sa.start[own], cover[own])
+    begin = mask.copy()
+    begin[1:] &= ~mask[:-1]
+    begin[sa.base] |= mask[sa.base]
+    a = np.flatnonzero(begin)
+    stop = mask.copy()
+    stop[:-1] &= ~mask[1:]
+    stop[sa.base[1:] - 1] |= mask[sa.base[1:] - 1]
+    z = np.flatnonzero(stop) + 1
+    of = np.searchsorted(sa.base, a, side="right") - 1
+    flat = (np.stack([a, z], axis=1) - sa.base[of][:, None]).ravel().astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((2 * np.searchsorted(of, np.arange(n_carriers + 1))).astype(np.int32)), pa.array(flat))
+
+
+def _spans(sa: SuffixArray, n_carriers: int, rank: np.ndarray, least: int, groups: bool) -> tuple[pa.Array, pa.Array, list[list[tuple[int, int, int]]]]:
     """For each carrier: byte spans in repeats, spans in repeats that begin earlier elsewhere, and its places in groups."""
     every, later = np.zeros(len(sa.carrier), dtype=np.int64), np.zeros(len(sa.carrier), dtype=np.int64)
     place = rank[sa.carrier] * (1 << 20) + sa.offset
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(n_carriers)]
-    for a, z, depth in sa.maximal(least):
+    for a, z, depth in intervals(sa.lcp, sa.left, least):
         every[a : z + 1] = depth
         first = a + int(place[a : z + 1].argmin())
         before = later[first]
         later[a : z + 1] = depth
         later[first] = before
         if groups:
-            gid = int.from_bytes(hashlib.blake2b(sa.keys[a, 4 : 4 + depth].tobytes(), digest_size=8).digest(), "little", signed=True)
+            gid = int.from_bytes(hashlib.blake2b(sa.data[sa.start[a] : sa.start[a] + depth].tobytes(), digest_size=8).digest(), "little", signed=True)
             for i in range(a, z + 1):
                 found[sa.carrier[i]].append((gid, depth, int(sa.offset[i])))
-    out = []
-    for cover in (every, later):
-        own = np.flatnonzero(cover)
-        order = own[np.lexsort((sa.offset[own], sa.carrier[own]))]
-        lists: list[list[int]] = [[] for _ in range(n_carriers)]
-        for c, s, n in zip(sa.carrier[order].tolist(), sa.offset[order].tolist(), cover[order].tolist(), strict=True):
-            have = lists[c]
-            if have and s <= have[-1]:
-                have[-1] = max(have[-1], s + n)
-            else:
-                have += [s, s + n]
-        out.append(lists)
-    return out[0], out[1], found
+    return _lists(sa, every, n_carriers), _lists(sa, later, n_carriers), found
 
 
 GROUPS = "array<struct<gid:long,size:int,at:int>>"
@@ -176,11 +195,11 @@ def bucket_repeats(parts: DataFrame, length: int, groups: bool) -> DataFrame:
         bucket = np.cumsum(np.concatenate([[0], (m[1:] != m[:-1]).astype(np.int64)]))
         n = t.column("n").to_numpy().astype(np.int64)
         # rows come sorted by the order of first occurrences inside a bucket
-        sa = SuffixArray(t.column("text").to_pylist(), n, bucket)
+        sa = SuffixArray(t.column("text").to_pylist(), n, bucket, length)
         every, later, found = _spans(sa, len(m), np.arange(len(m)), length, groups)
         kind = pa.list_(pa.struct([("gid", pa.int64()), ("size", pa.int32()), ("at", pa.int32())]))
         return pa.RecordBatch.from_arrays([
-            t.column("m").combine_chunks(), t.column("ch").combine_chunks(), pa.array(every, pa.list_(pa.int32())), pa.array(later, pa.list_(pa.int32())),
+            t.column("m").combine_chunks(), t.column("ch").combine_chunks(), every, later,
             pa.array([[{"gid": g, "size": d, "at": o} for g, d, o in x] for x in found], kind),
         ], names=["m", "ch", "every", "later", "groups"])
 
