@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds the cleaner, which works in the background, gets to delete files.
+CLEANING_S = 1.0
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,10 +57,9 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of jobs that have ended."""
-        import gc
-
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(CLEANING_S)
 
 
 def lower_ascii(text: str | object):

@@ -9,9 +9,12 @@ maximal exact repeats: of every window around a hit, and around each block
 that was hit, a 96-bit hash is compared over all documents, so a repeat is
 found wherever its first copy stands and not only in the anchor's document.
 
-Before the index is built, probes that nothing can answer are dropped: windows
-are cut into runs by the minimum of their GRAM-word shingle hashes, and only
-runs whose minimum stands in two documents can repeat.  This spares the
+Before the index is built, probes that nothing can answer are dropped and
+copies are collapsed: windows are cut into runs by the minimum of their
+GRAM-word shingle hashes, and only runs whose minimum stands twice can repeat.
+Runs of equal words are a class; all its members but those with the smallest
+id are repeats as a whole, and only members with the smallest id are indexed
+and probe for the windows that it shares with other classes.  This spares the
 shuffle of all rolling stretches of all texts, and drops no repeat.
 
 Documents without an id come after all others.  Nulls: a null text has no
@@ -48,7 +51,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """(m, id, lo, n): runs of windows by the minimum of their shingle hashes."""
+    """(m, times, id, lo, n): runs of windows by the minimum of their shingle hashes."""
     gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +59,41 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
             for part, data, off in slices(b, "text"):
                 s, _, rows, row, h = hashed(data, off)
                 valid = np.arange(len(s)) + length <= rows[1:][row]
-                m, lo, n, _ = window_runs(rolling_hash(h, gram), row, valid, length - gram + 1, RUN)
+                m, lo, n, times = window_runs(rolling_hash(h, gram), row, valid, length - gram + 1, RUN)
                 of = row[lo]
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), part.column(0).take(pa.array(of)), pa.array((lo - rows[of]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "id", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(times.astype(np.int32)), part.column(0).take(pa.array(of)), pa.array((lo - rows[of]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "times", "id", "lo", "n"])
 
-    return docs.select("id", "text").mapInArrow(run, "m long, id long, lo int, n int")
+    return docs.select("id", "text").mapInArrow(run, "m long, times int, id long, lo int, n int")
+
+
+def word_prefixes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """Two independent prefix hashes over a text's words."""
+    return [prefix_hash(range_hash(prefix_hash(byte_table(x)[data]), s, e)) for x in (32, 33)]
+
+
+def short(w: np.ndarray) -> np.ndarray:
+    return (w >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def classes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """found(m, id, lo, n) -> (m, w1, w2, id, h, lo, n) with the 96-bit hash of each run's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in slices(batch, "text"):
+                s, e, rows = words(data, off, SPACE)
+                want = part.column(3)
+                flat, size = want.flatten(), np.diff(want.offsets.to_numpy())
+                of = np.repeat(np.arange(part.num_rows), size)
+                lo, n = (flat.field(x).to_numpy().astype(np.int64) for x in ("lo", "n"))
+                # runs of other rows of the same id may lie outside this text
+                own = np.flatnonzero(lo + n + length - 1 <= np.diff(rows)[of])
+                start = (rows[of] + lo)[own]
+                w = [range_hash(x, start, start + n[own] + length - 1) for x in word_prefixes(data, s, e)]
+                at, take = pa.array(own), pa.array(of[own])
+                yield pa.RecordBatch.from_arrays([flat.field("m").take(at), pa.array(w[0].view(np.int64)), pa.array(short(w[1])), part.column(0).take(take), part.column(1).take(take), flat.field("lo").take(at), flat.field("n").take(at)], names=["m", "w1", "w2", "id", "h", "lo", "n"])
+
+    return with_lists(docs, found, F.struct("m", "lo", "n")).mapInArrow(run, "m long, w1 long, w2 int, id long, h int, lo int, n int")
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, item: Column) -> DataFrame:
@@ -106,43 +139,52 @@ def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> Dat
                 ok = last >= first
                 near = covered(len(s), (rows[of] + first)[ok], (last - first + 1)[ok]) if ok.any() else np.zeros(len(s), dtype=bool)
                 p = np.flatnonzero(near)
-                w = [rolling_hash(range_hash(prefix_hash(byte_table(x)[data]), s, e), length) for x in (32, 33)]
+                w = [range_hash(x, p, p + length) for x in word_prefixes(data, s, e)]
                 at = row[p]
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(w[0][p].view(np.int64)), pa.array((w[1][p] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array((p - rows[at]).astype(np.int32))], names=["w1", "w2", "id", "h", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(w[0].view(np.int64)), pa.array(short(w[1])), part.column(0).take(take), part.column(1).take(take), pa.array((p - rows[at]).astype(np.int32))], names=["w1", "w2", "id", "h", "p"])
 
     return with_lists(docs, anchors, F.col("q")).mapInArrow(run, "w1 long, w2 int, id long, h int, p int")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 13) -> DataFrame:
-    """docs(id, h, text) -> (id, h, p): the windows that start in a document with a smaller id, too."""
+    """docs(id, h, text) -> (id, h, p, n): runs of n windows that start in a document with a smaller id, too."""
     block = (length + 1) // 2
     rows = runs(docs, length)
-    known = scratch.cut(rows.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("m"))
-    regions = scratch.cut(rows.join(known, "m", "left_semi").select("id", "lo", "n"))
+    known = scratch.cut(rows.groupBy("m").agg(F.sum("times").alias("t")).where("t > 1").select("m"))
+    scratch.release()
+    found = scratch.cut(rows.select("m", "id", "lo", "n").join(known.hint("shuffle_hash"), "m", "left_semi"))
+    scratch.release()
+    found = scratch.cut(classes(docs, found, length))
+    scratch.release()
+    key = ["w1", "w2"]
+    first = scratch.cut(found.groupBy(*key).agg(F.min("id").alias("a"), F.first("m").alias("m")))
+    several = first.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
+    found = scratch.cut(found.join(first.select(*key, "a").hint("shuffle_hash"), key).select("m", "id", "h", F.col("lo").alias("p"), "n", "a"))
+    whole = found.where("a < id").select("id", "h", "p", "n")
+    regions = scratch.cut(found.where("a = id").join(several, "m", "left_semi").select("id", F.col("p").alias("lo"), "n"))
     scratch.release()
 
     probes = scratch.cut(stretches(docs, regions, length, block))
     scratch.release()
     index = probes.groupBy("b").agg(F.min(F.when(F.col("q") % block == 0, F.col("id"))).alias("ref"), F.max("id").alias("top")).where("ref < top").select("b", "ref")
     index = scratch.cut(index)
-    scratch.release()
     hit = (F.col("ref") < F.col("id")) | (F.col("q") % block == 0)
-    anchors = scratch.cut(probes.join(index, "b").where(hit).select("id", "q"))
+    anchors = scratch.cut(probes.join(index.hint("shuffle_hash"), "b").where(hit).select("id", "q"))
     scratch.drop(probes)
     scratch.release()
 
     found = scratch.cut(windows(docs, anchors, length, block))
+    least = scratch.cut(found.groupBy(*key).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select(*key, "a"))
+    part = scratch.cut(found.join(least.hint("shuffle_hash"), key).where("a < id").select("id", "h", "p", F.lit(1).alias("n")))
     scratch.release()
-    least = scratch.cut(found.groupBy("w1", "w2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("w1", "w2", "a"))
-    scratch.release()
-    return scratch.cut(found.join(least, ["w1", "w2"]).where("a < id").select("id", "h", "p"))
+    return whole.union(part)
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """(id, n_words, n_removed, kept, spans) for every row; kept words are joined by single spaces, spans are word runs removed, as start, end."""
     rows = keyed(docs, id_col, text_col)
-    gone = repeated_windows(rows, scratch, length).groupBy("id", "h").agg(F.collect_set("p").alias("list"))
+    gone = repeated_windows(rows, scratch, length).groupBy("id", "h").agg(F.collect_set(F.struct("p", "n")).alias("list"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +192,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 s, e, bounds = words(data, off, SPACE)
                 want = part.column(2).fill_null([]) if part.column(2).null_count else part.column(2)
                 of = np.repeat(np.arange(part.num_rows), np.diff(want.offsets.to_numpy()))
-                p = want.flatten().to_numpy().astype(np.int64)
-                mask = covered(len(s), bounds[of] + p, length) if len(p) else np.zeros(len(s), dtype=bool)
+                flat = want.flatten()
+                p, n = (flat.field(x).to_numpy().astype(np.int64) for x in ("p", "n"))
+                mask = covered(len(s), bounds[of] + p, n + length - 1) if len(p) else np.zeros(len(s), dtype=bool)
                 raw = data.tobytes()
                 kept, spans, removed = [], [], []
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
