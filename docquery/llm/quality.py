@@ -43,6 +43,8 @@ SMALL_WORDS, SMALL_BYTES = 5, 80
 DIM = 1 << 13
 NGRAM = 4
 SAMPLE = 8_000
+#: Texts of a word or two stay undecided at 0.3 to 0.5; they are not rejected.
+THRESHOLD = 0.3
 
 
 def _classes() -> np.ndarray:
@@ -108,27 +110,34 @@ def digits(pattern: np.ndarray) -> np.ndarray:
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """EM.  Posterior of good for each pattern, and each labeller's table (class, vote)."""
+    """EM.  Posterior of good for each pattern, and each labeller's table (class, vote), class 0 bad and 1 good.
+
+    Bad texts are of several kinds that different labellers see, so the bad
+    class is a mixture of as many parts as there are labellers, each begun
+    from the patterns in which its labeller votes bad.
+    """
     v = digits(patterns)
-    good = np.where((v == 0).any(1), 0.1, 0.9)
     m = v.shape[1]
+    bad = v == 0
+    r = np.full((len(v), m + 1), 0.03 / m)
+    r[:, m] = np.where(bad.any(1), 0.1, 0.97)
+    r[:, :m] = np.where(bad.any(1)[:, None], 0.9 * bad / np.maximum(bad.sum(1), 1)[:, None], r[:, :m])
     for _ in range(rounds):
-        prior = ((good * counts).sum() + 1) / (counts.sum() + 2)
-        p = np.ones((2, m, 3))
-        for k in range(m):
-            for c in range(3):
-                own = v[:, k] == c
-                p[1, k, c] += (good * counts)[own].sum()
-                p[0, k, c] += ((1 - good) * counts)[own].sum()
+        weight = r * counts[:, None]
+        p = np.full((m + 1, m, 3), 0.3)
+        for c in range(3):
+            p[:, :, c] += weight.T @ (v == c)
         p /= p.sum(2, keepdims=True)
-        at = np.arange(m)
-        log = np.log(p[1, at, v]).sum(1) - np.log(p[0, at, v]).sum(1) + np.log(prior) - np.log(1 - prior)
-        new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
-        if np.abs(new - good).max() < 1e-6:
-            good = new
+        prior = (weight.sum(0) + 0.1) / (weight.sum() + 0.1 * (m + 1))
+        log = np.log(prior) + np.log(p)[:, np.arange(m), v].sum(2).T
+        new = np.exp(log - log.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        moved = np.abs(new - r).max() if len(r) else 0.0
+        r = new
+        if moved < 1e-6:
             break
-        good = new
-    return good, p
+    share = prior[:m] / prior[:m].sum()
+    return r[:, m], np.stack([(share[:, None, None] * p[:m]).sum(0), p[m]])
 
 
 def features(data: np.ndarray, off: np.ndarray, extra: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,11 +165,11 @@ def features(data: np.ndarray, off: np.ndarray, extra: tuple) -> tuple[np.ndarra
     return np.concatenate([r, own]), np.concatenate([at % DIM, np.full(len(own), DIM - 1)]), np.concatenate([value, rep[own]])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 100_000, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
     """Logistic regression by AdaGrad on soft labels; the last entry is the intercept."""
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-6)
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(max(1, steps // len(rows))):
         for i in order.permutation(len(rows)):
             at, x = rows[i]
             z = w[at] @ x + w[DIM]
@@ -183,7 +192,7 @@ def _votes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern long")
 
 
-def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:
+def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
     """(id, score, posterior, pattern, keep) for every row, or the rows themselves with _score and _keep."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
