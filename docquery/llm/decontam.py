@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.common import table
@@ -137,8 +137,8 @@ def _merge(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def _probe(docs: DataFrame, shared) -> DataFrame:
-    """(id, text, hits) -> the same with n_words set and the hits of one block appended."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """(..., text, n_words, hits) -> the same with n_words set and the hits of one block appended."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     hits_type = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +163,15 @@ def _probe(docs: DataFrame, shared) -> DataFrame:
                         if b" ".join([data[x:y].tobytes() for x, y in zip(s[p:q].tolist(), e[p:q].tolist(), strict=True)]) == index.windows[w]:
                             base = int(rows[r])
                             found.setdefault(r, []).extend((item, p - base, q - base) for item in index.items[w])
-                hits = part.column(3)
+                hits = part.column(part.num_columns - 1)
                 if found:
                     hits = hits.to_pylist()
                     for r, spans in found.items():
                         hits[r] = (hits[r] or []) + [{"item": i, "start": a, "end": z} for i, a, z in _merge(spans)]
                     hits = pa.array(hits, type=hits_type)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(rows)), hits], names=["id", "text", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 2)), pa.array(np.diff(rows)), hits], names=part.schema.names)
 
-    return docs.mapInArrow(run, f"id {kind}, text string, n_words long, hits {HITS}")
+    return docs.mapInArrow(run, schema)
 
 
 def blocks(items: Iterator, limit: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -187,10 +187,10 @@ def blocks(items: Iterator, limit: int) -> Iterator[list[tuple[str, str | None]]
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
-    """(id, text, n_words, hits): for every document the word spans that occurrences of each item's windows cover."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20, carried: list[str] | None = None) -> DataFrame:
+    """(id, row, text, n_words, hits), row with the columns ``carried``: for every document the word spans that occurrences of each item's windows cover."""
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
+    out = docs.select(F.col(id_col).alias("id"), *([F.struct(*carried).alias("row")] if carried else []), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
     source = out
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col).cast("string")).toLocalIterator()
     for block in [*blocks(items, block_bytes)] or [[]]:
@@ -203,24 +203,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def cut_hits(found: DataFrame) -> DataFrame:
+    """The spans' words go from the text, with what stands between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, of = b.schema.get_field_index("text"), b.schema.get_field_index("hits")
+            texts, hits = b.column(at).to_pylist(), b.column(of).to_pylist()
+            for i, spans in enumerate(hits):
+                if spans:
+                    raw = texts[i].encode()
+                    data = lower_ascii(np.frombuffer(raw, dtype=np.uint8))
+                    s, e, _ = words(data, np.array([0, len(data)]), PUNCTUATION)
+                    out, last = [], 0
+                    for _, a, z in _merge([("", x["start"], x["end"]) for x in spans]):
+                        out.append(raw[last : s[a]])
+                        last = int(e[z - 1])
+                    texts[i] = b"".join([*out, raw[last:]]).decode()
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return found.mapInArrow(run, found.schema)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return digest(found)
 
 
+def digest_columns() -> dict[str, Column]:
+    """n_hit, items and contaminated from n_words and hits."""
+    n_hit = F.expr("""aggregate(array_sort(transform(hits, h -> struct(h.start as s, h.end as e))), struct(0 as e, 0L as n),
+        (a, x) -> struct(greatest(a.e, x.e) as e, a.n + greatest(0, x.e - greatest(a.e, x.s)) as n), a -> a.n)""")
+    return {"n_hit": n_hit, "items": F.array_sort(F.array_distinct(F.col("hits.item"))), "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words"))}
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from the spans."""
-    union = """aggregate(array_sort(transform(hits, h -> struct(h.start as s, h.end as e))), struct(0 as e, 0L as n),
-        (a, x) -> struct(greatest(a.e, x.e) as e, a.n + greatest(0, x.e - greatest(a.e, x.s)) as n), a -> a.n)"""
-    items = F.array_sort(F.array_distinct(F.col("hits.item")))
-    return (
-        found.select("id", "n_words", F.expr(union).alias("n_hit"), items.alias("items"))
-        .select(
-            F.col("id").alias("doc_id"), "n_words", "n_hit",
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-            F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"),
-        )
+    c = digest_columns()
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", c["n_hit"].alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"),
+        c["contaminated"].alias("contaminated"),
     )
 
 

@@ -24,14 +24,15 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, table
 from docquery.llm.components import components
-from docquery.llm.kernels import mix
+from docquery.llm.kernels import SPACE, byte_table, lower_ascii, mix, prefix_hash, range_hash, rolling_hash, row_of, slices, words
 
 CHUNK = 1 << 15
+MEMBERS = 16
 
 
 def simhash(text: bytes, size: int = 3) -> int:
@@ -220,6 +221,153 @@ def simhash_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id"
     return fps.join(classes, "fp")
 
 
+def signatures(data: np.ndarray, off: np.ndarray, size: int, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row, over its shingles of ``size`` words (A-Z lower-cased; all words, if fewer): SimHash, ``keys`` minimum hashes, a hash of all words, and the 32-bit shingle hashes with their row boundaries."""
+    data = lower_ascii(data)
+    s, e, rows = words(data, off, SPACE)
+    row, n_rows = row_of(rows, len(s)), len(off) - 1
+    h = range_hash(prefix_hash(byte_table(41)[data]), s, e)
+    whole = range_hash(prefix_hash(h), rows[:-1], rows[1:])
+    roll = rolling_hash(h, size)
+    at = np.flatnonzero(row[: len(roll)] == row[len(h) - len(roll) :])
+    short = np.flatnonzero((np.diff(rows) < size) & (np.diff(rows) > 0))
+    value, of = np.concatenate([roll[at], mix(whole[short])]), np.concatenate([row[at], short])
+    order = np.argsort(of, kind="stable")
+    value, of = value[order], of[order]
+    cut = np.searchsorted(of, np.arange(n_rows + 1))
+    full = np.flatnonzero(np.diff(cut))
+    fp, least = np.zeros(n_rows, dtype=np.uint64), np.zeros((n_rows, keys), dtype=np.uint64)
+    if len(full):
+        ones = np.stack([np.add.reduceat(value >> np.uint64(b) & np.uint64(1), cut[full]) for b in range(64)], axis=1)
+        fp[full] = np.packbits(2 * ones > np.diff(cut)[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        for k in range(keys):
+            least[full, k] = np.minimum.reduceat(mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))), cut[full])
+    return fp, least, whole, (value >> np.uint64(32)).astype(np.uint32), cut
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Jaccard similarity of two sorted sets, at least the threshold."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= threshold * (len(a) + len(b) - common)
+
+
+def shard_groups(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """rows(shard, node, fp, set), whole shards sorted -> (u, v): each node's verified link to the first of its group, within a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_shard(batches, 4096):
+            fp = np.ascontiguousarray(t.column("fp").to_numpy()).view(np.uint64)
+            root = roots(t.column("shard").to_numpy())
+            sets = t.column("set").combine_chunks()
+            at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+            parent = list(range(len(fp)))
+
+            def find(i: int, parent: list[int] = parent) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for q, x in search(fp, root, forest(fp, root), radius):
+                for i, j in zip(q.tolist(), x.tolist(), strict=True):
+                    a, b = find(i), find(j)
+                    if a != b and similar(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], threshold):
+                        parent[max(a, b)] = min(a, b)
+            node = t.column("node").to_numpy()
+            top = np.array([find(i) for i in range(len(fp))], dtype=np.int64)
+            own = np.flatnonzero(top != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], names=["u", "v"])
+
+    return rows.select("shard", "node", "fp", "set").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, radius: int = 22, shard_size: int = 1024) -> DataFrame:
+    """docs with ``_kept``: true for one row of each group of texts linked by Jaccard similarity ``threshold`` of ``size``-word shingles, the first by id.
+
+    64 bits at a similarity of 0.8 are up to 20 apart, too far for blocks of
+    equal bits, so here the shards of the BK-trees are keyed by minimum shingle
+    hashes: two such texts share one of ``keys`` with probability
+    1 - (1 - threshold) ** keys, 0.99994 by default.  A shard's tree proposes
+    pairs within ``radius`` bits and the shingle sets decide.  Texts of equal
+    words are one node from the start.
+
+    A shard of more than ``shard_size`` nodes is split by every other key of
+    its nodes.  What is then still larger is a group of near copies: it is
+    dealt to blocks, of each group found in a block the first and MEMBERS - 1
+    others go on, and so forth until one block holds the rest.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text)})
+    base = given.select("_id", "_h", text.alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, data, off in slices(b, "text", 1 << 20):
+                fp, least, whole, _, cut = signatures(data, off, size, keys)
+                has = np.diff(cut) > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * keys)]).astype(np.int32)), pa.array(least[has].view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), lists], names=["_id", "_h", "node", "fp", "keys"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, data, off in slices(b, "text", 1 << 20):
+                _, _, _, value, cut = signatures(data, off, size, 0)
+                sets = [np.unique(value[a:z]).view(np.int32) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "set"])
+
+    signed = base.mapInArrow(sign, f"_id {kind}, _h long, node long, fp long, keys array<long>")
+    nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    scratch.release()
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """rows(shard, node) of shards that hold two nodes or more, with their count."""
+        rows = scratch.cut(rows)
+        return scratch.cut(rows.join(rows.groupBy("shard").count().where("count > 1").hint("shuffle_hash"), "shard"))
+
+    def none(df: DataFrame) -> bool:
+        return not df.limit(1).count()
+
+    rows = counted(nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("shard")))
+    wanted = rows.select("node").distinct().join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
+    sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(gather, "node long, set array<int>")
+    members = scratch.cut(sets.dropDuplicates(["node"]).join(nodes.select("node", "fp"), "node"))
+    scratch.release()
+
+    def solve(rows: DataFrame, block) -> DataFrame:
+        dealt = rows.select("node", block.alias("shard")).join(members, "node")
+        return scratch.cut(shard_groups(dealt.repartition("shard").sortWithinPartitions("shard", "node"), radius, threshold))
+
+    small, large = rows.where(F.col("count") <= shard_size), rows.where(F.col("count") > shard_size)
+    edges = solve(small, F.col("shard"))
+    if not none(large):
+        again = large.select("shard", "node").join(nodes.select("node", F.posexplode("keys").alias("k", "key")), "node")
+        rows = counted(again.where(F.xxhash64("k", "key") != F.col("shard")).select("node", F.xxhash64("shard", "k", "key").alias("shard")).union(large.join(nodes.where("size(keys) < 2"), "node", "left_semi").select("node", "shard")))
+        most = shard_size
+        while True:
+            limit = F.lit(most)
+            part = solve(rows, F.when(F.col("count") <= limit, F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("count") / limit)))))
+            edges = edges.union(part)
+            over = rows.where(F.col("count") > limit).select("shard", "node")
+            if none(over):
+                break
+            some = part.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u"), "u"))).where(F.col("r") < MEMBERS).select(F.col("u").alias("node"))
+            inner = scratch.cut(part.select(F.col("u").alias("node")).distinct().join(some, "node", "left_anti"))
+            left = scratch.cut(over.join(inner, "node", "left_anti"))
+            if left.count() > 0.7 * over.count():
+                most *= 2
+            rows = counted(left)
+    label = components(edges.distinct(), scratch)
+    group = nodes.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
+    kept = scratch.cut(group.select(F.col("first._id").alias("i"), F.col("first._h").alias("j"), F.lit(True).alias("_first")))
+    out = given.join(kept.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j")), "left")
+    # rows alike in id and text: one of them
+    out = out.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0))))
+    return out.withColumn("_kept", F.coalesce("_first", F.lit(False)) & (F.col("_row") == 1)).select(*docs.columns, "_kept")
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -264,7 +264,9 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 200, bucket: int =
     """docs(id, h, text) -> candidate carriers (m, ch, id, h, lo, n), and classes (m, ch, c, first, every, later, groups) of the repeated ones."""
     rows = carriers(docs, length)
     known = rows.groupBy("m").agg(F.sum("times").alias("t")).where("t > 1").select("m")
-    cand = scratch.cut(rows.join(known, "m", "left_semi"))
+    known = scratch.cut(known)
+    scratch.release()
+    cand = scratch.cut(rows.join(known.hint("shuffle_hash"), "m", "left_semi"))
     scratch.release()
     classes = cand.groupBy("m", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "lo")).alias("first"), F.first("n").alias("n"), F.max("times").alias("times"))
     classes = scratch.cut(classes)
@@ -306,12 +308,12 @@ def document_spans(cand: DataFrame, classes: DataFrame, length: int, keep: str)
         spans = F.when(~is_first, whole).otherwise(F.coalesce("later", F.array().cast("array<int>")))
     else:
         spans = F.when(F.col("c") > 1, whole).otherwise(F.col("every"))
-    rows = cand.select("m", "ch", "id", "h", "lo").join(classes.drop("groups"), ["m", "ch"]).select("id", "h", F.transform(spans, lambda x: x + F.col("lo")).alias("s")).where("size(s) > 0")
+    rows = cand.select("m", "ch", "id", "h", "lo").join(classes.drop("groups").hint("shuffle_hash"), ["m", "ch"]).select("id", "h", F.transform(spans, lambda x: x + F.col("lo")).alias("s")).where("size(s) > 0")
     return rows.groupBy("id", "h").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: str = "none", bucket: int = 2048) -> DataFrame:
-    """(id, text, kept binary, spans): every row's remaining bytes and the maximal removed runs, as start, end, start, end."""
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: str = "none", bucket: int = 2048, as_text: bool = False) -> DataFrame:
+    """docs with _kept, every row's remaining bytes (``as_text``: as a string, without the rest of characters that a span cuts), and _spans, the maximal removed runs of bytes as start, end, start, end."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep is none or first, not {keep!r}")
     rows = keyed(docs, id_col, text_col)
@@ -321,9 +323,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, spans = b.column(1).cast(pa.binary()).to_pylist(), b.column(2)
+            raw, spans = b.column(b.num_columns - 2).cast(pa.binary()), b.column(b.num_columns - 1)
             kept, runs = [], []
             for t, s in zip(raw, spans, strict=True):
+                t = t.as_py()
                 if not s.is_valid:
                     kept.append(t)
                     runs.append([])
@@ -333,10 +336,13 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 a, z = runs_of(gone)
                 kept.append(np.frombuffer(t, dtype=np.uint8)[~gone].tobytes())
                 runs.append(np.stack([a, z], axis=1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], names=["id", "text", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], names=[*b.schema.names[:-2], "_kept", "_spans"])
 
-    both = rows.join(spans.withColumnsRenamed({"id": "id_", "h": "h_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left")
-    return both.select("id", "text", "spans").mapInArrow(cut, "id long, text string, kept binary, spans array<int>")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.withColumns({"_i": F.col(id_col).cast("long"), "_h": F.xxhash64(text), "_text": text})
+    both = given.join(spans.withColumnsRenamed({"id": "_id", "h": "_h2"}), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _kept {'string' if as_text else 'binary'}, _spans array<int>"
+    return both.select(*docs.columns, "_text", "spans").mapInArrow(cut, schema)
 
 
 def repeat_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -348,9 +354,9 @@ def repeat_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
-    size = F.octet_length("text").cast("long")
-    return found.select(F.col("id").alias("doc_id"), size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op9"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return found.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("_kept")).alias("n_removed"), (F.size("_spans") / 2).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_suffix_array": op9_suffix_array}
