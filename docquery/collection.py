@@ -79,8 +79,8 @@ class Collection:
         hidden = sorted(self.gone | set(self.docs))
         if not hidden:
             return self.base
-        keys = self.spark.createDataFrame([(k,) for k in hidden], "k string")
-        return self.base.join(keys, F.col(f"`{self.config.id_key}`").cast("string") == F.col("k"), "left_anti")
+        keys = self.spark.createDataFrame([(k,) for k in hidden], "hidden_key string")
+        return self.base.join(keys, self.base[self.config.id_key].cast("string") == keys["hidden_key"], "left_anti")
 
     def count(self) -> int:
         base = self._kept_base()
