@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 
 #: Seconds the cleaner, which works in the background, gets to delete files.
 CLEANING_S = 1.0
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python hold BATCH_BYTES at most, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +43,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docquery-{name}-{uuid.uuid4().hex}"
         self.count = 0

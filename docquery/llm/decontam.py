@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.common import table
-from docquery.llm.kernels import PUNCTUATION, byte_table, expand, lower_ascii, prefix_hash, range_hash, rolling_hash, row_of, slices, words
+from docquery.llm.kernels import PUNCTUATION, byte_table, expand, lower_ascii, prefix_hash, range_hash, released, rolling_hash, row_of, slices, words
 
 SHINGLE = 3
 HITS = "array<struct<item:string,start:int,end:int>>"
@@ -122,7 +122,7 @@ def _count(docs: DataFrame, shared) -> DataFrame:
             own = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(v[own].view(np.int64)), pa.array(total[k][own])], names=["k", "h", "n"])
 
-    return docs.select("text").mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
 
 
 def _merge(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -136,16 +136,25 @@ def _merge(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _probe(docs: DataFrame, shared) -> DataFrame:
-    """(..., text, n_words, hits) -> the same with n_words set and the hits of one block appended."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def without(raw: bytes, s: np.ndarray, e: np.ndarray, spans: list[dict]) -> str:
+    """A text without the words of the spans and what stands between them; s and e are its words' bounds."""
+    out, last = [], 0
+    for _, a, z in _merge([("", x["start"], x["end"]) for x in spans]):
+        out.append(raw[last : s[a]])
+        last = int(e[z - 1])
+    return b"".join([*out, raw[last:]]).decode()
+
+
+def _probe(docs: DataFrame, shared, clean: bool) -> DataFrame:
+    """(..., text, n_words, hits) -> the same with n_words set and the hits of one block appended; ``clean`` adds the text without all hits, where it has any."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", clean string" * clean
     hits_type = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            for part, data, off in slices(b, "text"):
-                data = lower_ascii(data)
+            for part, raw, off in slices(b, "text"):
+                data = lower_ascii(raw)
                 s, e, rows = words(data, off, PUNCTUATION)
                 h, row = _hashes(data, s, e), row_of(rows, len(s))
                 found: dict[int, list[tuple[str, int, int]]] = {}
@@ -169,9 +178,16 @@ def _probe(docs: DataFrame, shared) -> DataFrame:
                     for r, spans in found.items():
                         hits[r] = (hits[r] or []) + [{"item": i, "start": a, "end": z} for i, a, z in _merge(spans)]
                     hits = pa.array(hits, type=hits_type)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 2)), pa.array(np.diff(rows)), hits], names=part.schema.names)
+                more = []
+                if clean:
+                    texts: list[str | None] = [None] * part.num_rows
+                    for r in np.flatnonzero(np.diff(hits.offsets.to_numpy())).tolist():
+                        own = slice(int(rows[r]), int(rows[r + 1]))
+                        texts[r] = without(raw[off[r] : off[r + 1]].tobytes(), s[own] - off[r], e[own] - off[r], hits[r].as_py())
+                    more.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 2)), pa.array(np.diff(rows)), hits, *more], names=[*part.schema.names, *["clean"] * clean])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def blocks(items: Iterator, limit: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -187,44 +203,26 @@ def blocks(items: Iterator, limit: int) -> Iterator[list[tuple[str, str | None]]
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20, carried: list[str] | None = None) -> DataFrame:
-    """(id, row, text, n_words, hits), row with the columns ``carried``: for every document the word spans that occurrences of each item's windows cover."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20, carried: list[str] | None = None, clean: bool = False) -> DataFrame:
+    """(id, row, text, n_words, hits, clean), row with the columns ``carried``, clean the text without its hits: for every document the word spans that occurrences of each item's windows cover."""
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("id"), *([F.struct(*carried).alias("row")] if carried else []), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
     source = out
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col).cast("string")).toLocalIterator()
-    for block in [*blocks(items, block_bytes)] or [[]]:
+    held = blocks(items, block_bytes)
+    block = next(held, [])
+    while block is not None:
+        after = next(held, None)
         index = Index(block, size)
         wanted = spark.sparkContext.broadcast(index.by_size())
         counts = {(r.k, r.h % (1 << 64)): r.n for r in _count(source, wanted).collect()} if index.windows else {}
         wanted.unpersist()
         index.order(counts)
-        out = _probe(out, spark.sparkContext.broadcast(index))
+        out = _probe(out, spark.sparkContext.broadcast(index), clean and after is None)
+        block = after
     return out
 
 
-def cut_hits(found: DataFrame) -> DataFrame:
-    """The spans' words go from the text, with what stands between them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, of = b.schema.get_field_index("text"), b.schema.get_field_index("hits")
-            texts, hits = b.column(at).to_pylist(), b.column(of).to_pylist()
-            for i, spans in enumerate(hits):
-                if spans:
-                    raw = texts[i].encode()
-                    data = lower_ascii(np.frombuffer(raw, dtype=np.uint8))
-                    s, e, _ = words(data, np.array([0, len(data)]), PUNCTUATION)
-                    out, last = [], 0
-                    for _, a, z in _merge([("", x["start"], x["end"]) for x in spans]):
-                        out.append(raw[last : s[a]])
-                        last = int(e[z - 1])
-                    texts[i] = b"".join([*out, raw[last:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
-
-    return found.mapInArrow(run, found.schema)
-
-
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return digest(found)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm.common import table
-from docquery.llm.kernels import byte_table, lower_ascii, prefix_hash, range_hash, row_of, separators, slices, words
+from docquery.llm.kernels import byte_table, lower_ascii, prefix_hash, range_hash, released, row_of, separators, slices, words
 
 #: All ASCII but lower-case letters.
 NO_LETTER = separators([(0x00, 0x60), (0x7B, 0x7F)])
@@ -195,8 +195,14 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def training_words(docs: DataFrame, per_language: int, words_per_document: int) -> dict[str, list[bytes]]:
     """docs(lang, text, u): a bounded number of words of a bounded number of documents for each language."""
+    # rows whose hash is below a share of their language that holds about twice the bound, so that the ranking reads no more as the corpus grows
+    share = {r.lang: min(1.0, (2 * per_language + 50) / r["count"]) for r in docs.groupBy("lang").count().collect()}
+    if not share:
+        return {}
+    below = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])
+    some = docs.where(F.pmod("u", F.lit(1 << 30)) < F.element_at(below, F.col("lang")) * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
-    chosen = docs.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +215,7 @@ def training_words(docs: DataFrame, per_language: int, words_per_document: int)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[own])), pa.array([data[x:y].tobytes() for x, y in zip(s[own].tolist(), e[own].tolist(), strict=True)], pa.binary())], names=["lang", "word"])
 
     out: dict[str, list[bytes]] = {}
-    for r in chosen.mapInArrow(pick, "lang string, word binary").toLocalIterator():
+    for r in chosen.mapInArrow(released(pick), "lang string, word binary").toLocalIterator():
         out.setdefault(r.lang, []).append(bytes(r.word))
     return {k: sorted(v) for k, v in out.items()}
 
@@ -229,7 +235,7 @@ def languages(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_co
         cache, letter = Labels(net, max(len(langs), 1)), regex.compile(r"\p{L}")
         names = np.array([*langs, "und"], dtype=object)
         for b in batches:
-            for part, raw, off in slices(b, "text", 4 << 20):
+            for part, raw, off in slices(b, "text", 1 << 20):
                 data = lower_ascii(raw)
                 n = part.num_rows
                 s, e, row = segments(data, off)
@@ -250,7 +256,7 @@ def languages(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_co
                 best[und], score[und] = len(langs), 0.0
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(positions.astype(np.int64))], names=["id", "lang_pred", "score", "n_positions"])
 
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, n_positions long")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(released(run), f"id {kind}, lang_pred string, score double, n_positions long")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

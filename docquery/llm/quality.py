@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm.common import table
-from docquery.llm.kernels import SPACE, byte_table, prefix_hash, range_hash, row_of, slices, words
+from docquery.llm.common import bound_batches, table
+from docquery.llm.kernels import SPACE, byte_table, prefix_hash, range_hash, released, row_of, slices, words
 
 #: Labellers: statistic, bad at or beyond, good at or before (compared downwards where bad < good).
 LABELLERS: tuple[tuple[str, float, float], ...] = (
@@ -189,12 +189,13 @@ def _votes(docs: DataFrame) -> DataFrame:
                 stats, n, _x = statistics(data, off)
                 yield pa.RecordBatch.from_arrays([pa.array(votes(stats, n))], names=["pattern"])
 
-    return docs.select("text").mapInArrow(run, "pattern long")
+    return docs.select("text").mapInArrow(released(run), "pattern long")
 
 
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
     """(id, score, posterior, pattern, keep) for every row, or the rows themselves with _score and _keep."""
     spark = docs.sparkSession
+    bound_batches(spark)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = sorted((r.pattern, r["count"]) for r in _votes(base).groupBy("pattern").count().collect())
     seen = [x for x in counted if x[0] >= 0]
@@ -218,7 +219,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield out.filter(pa.array(p >= 0))
 
     u = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = base.where(u < share).select("text").mapInArrow(gather, "label double, at array<int>, x array<float>").toArrow()
+    rows = base.where(u < share).select("text").mapInArrow(released(gather), "label double, at array<int>, x array<float>").toArrow()
     at, x = rows.column("at").combine_chunks(), rows.column("x").combine_chunks()
     pairs = [(np.array(a.values), np.array(v.values, dtype=float)) for a, v in zip(at, x, strict=True)]
     w = train(pairs, rows.column("label").to_numpy()) if pairs else np.zeros(DIM + 1)
@@ -242,7 +243,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f.name for f in first.schema.fields]
     given = docs.select("*" if keep_columns else F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{n}` {first.schema[n].dataType.simpleString()}" for n in names) + ", _score double, _posterior double, _pattern long, _keep boolean"
-    out = given.mapInArrow(score, schema)
+    out = given.mapInArrow(released(score), schema)
     return out if keep_columns else out.withColumnsRenamed({"_score": "score", "_posterior": "posterior", "_pattern": "pattern", "_keep": "keep"})
 
 

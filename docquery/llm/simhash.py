@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, table
 from docquery.llm.components import components
-from docquery.llm.kernels import SPACE, byte_table, lower_ascii, mix, prefix_hash, range_hash, rolling_hash, row_of, slices, words
+from docquery.llm.kernels import SPACE, byte_table, lower_ascii, mix, prefix_hash, range_hash, released, rolling_hash, row_of, slices, words
 
 CHUNK = 1 << 15
 MEMBERS = 16
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), f"id {kind}, fp long")
 
 
 def forest(fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def split_shards(rows: DataFrame, radius: int) -> DataFrame:
             if outs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*outs, strict=True)], names=["fp", "shard", "free"])
 
-    return rows.select("fp", "shard", "free").mapInArrow(run, "fp long, shard long, free long")
+    return rows.select("fp", "shard", "free").mapInArrow(released(run), "fp long, shard long, free long")
 
 
 def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, shard_size: int = 4096) -> DataFrame:
@@ -203,7 +203,7 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, shard_size: int =
         last = bits <= 2 * (radius + 1) or not large.limit(1).count()
         alone = sizes.where("count = 1" if last else f"count = 1 or count > {shard_size}").select("shard")
         small = rows.join(alone, "shard", "left_anti")
-        part = small.repartition("shard").sortWithinPartitions("shard").select("fp", "shard").mapInArrow(run, "u long, v long")
+        part = small.repartition("shard").sortWithinPartitions("shard").select("fp", "shard").mapInArrow(released(run), "u long, v long")
         found = part if found is None else found.union(part)
         if last:
             return scratch.cut(found.distinct())
@@ -280,7 +280,7 @@ def shard_groups(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
             own = np.flatnonzero(top != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], names=["u", "v"])
 
-    return rows.select("shard", "node", "fp", "set").mapInArrow(run, "u long, v long")
+    return rows.select("shard", "node", "fp", "set").mapInArrow(released(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, radius: int = 22, shard_size: int = 1024) -> DataFrame:
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data, off in slices(b, "text", 1 << 20):
+            for part, data, off in slices(b, "text"):
                 fp, least, whole, _, cut = signatures(data, off, size, keys)
                 has = np.diff(cut) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * keys)]).astype(np.int32)), pa.array(least[has].view(np.int64).ravel()))
@@ -313,12 +313,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data, off in slices(b, "text", 1 << 20):
+            for part, data, off in slices(b, "text"):
                 _, _, _, value, cut = signatures(data, off, size, 0)
                 sets = [np.unique(value[a:z]).view(np.int32) for a, z in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "set"])
 
-    signed = base.mapInArrow(sign, f"_id {kind}, _h long, node long, fp long, keys array<long>")
+    signed = base.mapInArrow(released(sign), f"_id {kind}, _h long, node long, fp long, keys array<long>")
     nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     scratch.release()
 
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     rows = counted(nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("shard")))
     wanted = rows.select("node").distinct().join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
-    sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(gather, "node long, set array<int>")
+    sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(released(gather), "node long, set array<int>")
     members = scratch.cut(sets.dropDuplicates(["node"]).join(nodes.select("node", "fp"), "node"))
     scratch.release()
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, table
-from docquery.llm.kernels import SPACE, byte_table, covered, prefix_hash, range_hash, rolling_hash, row_of, runs_of, slices, window_runs, words
+from docquery.llm.kernels import SPACE, byte_table, covered, prefix_hash, range_hash, released, rolling_hash, row_of, runs_of, slices, window_runs, words
 
 GRAM = 5
 RUN = 256
@@ -63,7 +63,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                 of = row[lo]
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(times.astype(np.int32)), part.column(0).take(pa.array(of)), pa.array((lo - rows[of]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "times", "id", "lo", "n"])
 
-    return docs.select("id", "text").mapInArrow(run, "m long, times int, id long, lo int, n int")
+    return docs.select("id", "text").mapInArrow(released(run), "m long, times int, id long, lo int, n int")
 
 
 def word_prefixes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
@@ -93,7 +93,7 @@ def classes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 at, take = pa.array(own), pa.array(of[own])
                 yield pa.RecordBatch.from_arrays([flat.field("m").take(at), pa.array(w[0].view(np.int64)), pa.array(short(w[1])), part.column(0).take(take), part.column(1).take(take), flat.field("lo").take(at), flat.field("n").take(at)], names=["m", "w1", "w2", "id", "h", "lo", "n"])
 
-    return with_lists(docs, found, F.struct("m", "lo", "n")).mapInArrow(run, "m long, w1 long, w2 int, id long, h int, lo int, n int")
+    return with_lists(docs, found, F.struct("m", "lo", "n")).mapInArrow(released(run), "m long, w1 long, w2 int, id long, h int, lo int, n int")
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, item: Column) -> DataFrame:
@@ -121,7 +121,7 @@ def stretches(docs: DataFrame, regions: DataFrame, length: int, block: int) -> D
                 ok = np.flatnonzero(inside[:k] & inside[len(s) - k :] & (row[:k] == row[len(s) - k :])) if k else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(roll[ok].view(np.int64)), part.column(0).take(pa.array(row[ok])), pa.array((ok - rows[row[ok]]).astype(np.int32))], names=["b", "id", "q"])
 
-    return with_lists(docs, regions, F.struct("lo", "n")).mapInArrow(run, "b long, id long, q int")
+    return with_lists(docs, regions, F.struct("lo", "n")).mapInArrow(released(run), "b long, id long, q int")
 
 
 def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> DataFrame:
@@ -144,7 +144,7 @@ def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> Dat
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(w[0].view(np.int64)), pa.array(short(w[1])), part.column(0).take(take), part.column(1).take(take), pa.array((p - rows[at]).astype(np.int32))], names=["w1", "w2", "id", "h", "p"])
 
-    return with_lists(docs, anchors, F.col("q")).mapInArrow(run, "w1 long, w2 int, id long, h int, p int")
+    return with_lists(docs, anchors, F.col("q")).mapInArrow(released(run), "w1 long, w2 int, id long, h int, p int")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 13) -> DataFrame:
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.int32()))], names=["id", "n_words", "n_removed", "kept", "spans"])
 
     both = rows.join(gone, ["id", "h"], "left").select("id", "text", "list")
-    out = both.mapInArrow(cut, "id long, n_words long, n_removed long, kept string, spans array<int>")
+    out = both.mapInArrow(released(cut), "id long, n_words long, n_removed long, kept string, spans array<int>")
     return out.withColumn("id", F.nullif(F.col("id"), F.lit(LAST)))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, table
-from docquery.llm.kernels import byte_table, covered, mix, prefix_hash, range_hash, rolling_hash, runs_of, slices, window_runs
+from docquery.llm.kernels import byte_table, covered, mix, prefix_hash, range_hash, released, rolling_hash, runs_of, slices, window_runs
 
 GRAM = 64
 CARRIER = 256
@@ -54,7 +54,7 @@ def carriers(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data, off in slices(b, "text", 1 << 20):
+            for part, data, off in slices(b, "text"):
                 row = np.repeat(np.arange(part.num_rows), np.diff(off))
                 valid = np.arange(len(data)) + length <= off[1:][row]
                 v = byte_table(1)[data]
@@ -66,7 +66,7 @@ def carriers(docs: DataFrame, length: int) -> DataFrame:
                     names=["m", "ch", "times", "id", "h", "lo", "n"],
                 )
 
-    return docs.select("id", "h", "text").mapInArrow(run, "m long, ch long, times int, id long, h long, lo int, n int")
+    return docs.select("id", "h", "text").mapInArrow(released(run), "m long, ch long, times int, id long, h long, lo int, n int")
 
 
 def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -234,7 +234,7 @@ def bucket_repeats(parts: DataFrame, length: int, groups: bool) -> DataFrame:
                 yield solve(t.slice(begin, stop - begin))
                 begin = stop
 
-    return parts.mapInArrow(run, f"m long, ch long, every array<int>, later array<int>, groups {GROUPS}")
+    return parts.mapInArrow(released(run), f"m long, ch long, every array<int>, later array<int>, groups {GROUPS}")
 
 
 def wide_bucket_repeats(parts: DataFrame, length: int) -> DataFrame:
@@ -253,7 +253,7 @@ def wide_bucket_repeats(parts: DataFrame, length: int) -> DataFrame:
                 at = pa.array(of + i)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("m", "ch", "id", "h", "lo")), pa.array(o.astype(np.int32)), pa.array(w[0]), pa.array(w[1])], names=["m", "ch", "id", "h", "lo", "o", "w1", "w2"])
 
-    rows = parts.mapInArrow(cut, "m long, ch long, id long, h long, lo int, o int, w1 long, w2 long")
+    rows = parts.mapInArrow(released(cut), "m long, ch long, id long, h long, lo int, o int, w1 long, w2 long")
     same = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "lo", "ch", "o")).alias("first")).where("c > 1")
     hit = rows.join(same, ["w1", "w2"]).select("m", "ch", "o", (F.col("ch").eqNullSafe(F.col("first.ch")) & (F.col("o") == F.col("first.o"))).alias("is_first"))
     spans = lambda c: F.flatten(F.transform(F.array_sort(c), lambda o: F.array(o, o + length)))
@@ -288,7 +288,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 200, bucket: int =
 
     lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("m", "ch", "n", "classes", "lo")).alias("want"))
     one = docs.join(lists.withColumnsRenamed({"id": "id_", "h": "h_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
-    parts = scratch.cut(one.select("id", "h", "text", "want").mapInArrow(fetch, "m long, ch long, n int, classes long, id long, h long, lo int, text binary").dropDuplicates(["m", "ch"]))
+    parts = scratch.cut(one.select("id", "h", "text", "want").mapInArrow(released(fetch), "m long, ch long, n int, classes long, id long, h long, lo int, text binary").dropDuplicates(["m", "ch"]))
     scratch.release()
     small = parts.where(F.col("classes") <= bucket).repartition("m").sortWithinPartitions("m", F.col("id").asc_nulls_first(), "h", "lo")
     solved = bucket_repeats(small.select("m", "ch", "n", "text"), length, groups)
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     given = docs.withColumns({"_i": F.col(id_col).cast("long"), "_h": F.xxhash64(text), "_text": text})
     both = given.join(spans.withColumnsRenamed({"id": "_id", "h": "_h2"}), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _kept {'string' if as_text else 'binary'}, _spans array<int>"
-    return both.select(*docs.columns, "_text", "spans").mapInArrow(cut, schema)
+    return both.select(*docs.columns, "_text", "spans").mapInArrow(released(cut), schema)
 
 
 def repeat_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

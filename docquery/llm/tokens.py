@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, table
+from docquery.llm.kernels import released
 
 #: The pattern that byte-level BPE vocabularies of this kind are defined with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -103,8 +104,8 @@ def pre_token_table(docs: DataFrame, spec) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tool.pieces(b.column(0).to_pylist()), pa.int32())], names=["pre_token", "freq", "n"])
 
-    found = docs.select("text").mapInArrow(gather, "pre_token string, freq long").groupBy("pre_token").agg(F.sum("freq").alias("freq"))
-    return found.mapInArrow(count, "pre_token string, freq long, n int")
+    found = docs.select("text").mapInArrow(released(gather), "pre_token string, freq long").groupBy("pre_token").agg(F.sum("freq").alias("freq"))
+    return found.mapInArrow(released(count), "pre_token string, freq long, n int")
 
 
 def token_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", spec: str | None = None, frequent: int = 1 << 18) -> DataFrame:
@@ -155,7 +156,7 @@ def token_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, id_type), pa.array(key, pa.string()), pa.array(freq, pa.int64()), pa.array(base, pa.int64()), pa.array(size, pa.int64())], names=["rid", "id", "pre_token", "freq", "base", "n_bytes"])
 
     tail = counts if least is None else counts.where((level < least) | (F.octet_length("pre_token") > FREQUENT_BYTES))
-    parts = docs.mapInArrow(document, schema).join(tail.select("pre_token", "n"), "pre_token", "left")
+    parts = docs.mapInArrow(released(document), schema).join(tail.select("pre_token", "n"), "pre_token", "left")
     return parts.groupBy("rid").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("base") + F.col("freq") * F.coalesce("n", F.lit(0))).alias("n_tokens")).select("id", "n_bytes", "n_tokens")
 
 
