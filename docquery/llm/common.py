@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import time
@@ -39,7 +41,7 @@ class Scratch:
 
     A written table ends the lineage: losing an executor later costs a reread
     and not the work before it.  ``drop`` removes a table that nothing reads
-    any more.
+    any more; all of them go when the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -47,6 +49,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docquery-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._remove, self.root)
+
+    def _remove(self, path: str) -> None:
+        """Delete a path of the shared folder, if the session still runs."""
+        if self.spark.sparkContext._jsc is None:
+            return
+        with contextlib.suppress(Exception):
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -59,9 +70,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_docquery_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._remove(path)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of jobs that have ended."""
