@@ -325,7 +325,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     def counted(rows: DataFrame) -> DataFrame:
         """rows(shard, node) of shards that hold two nodes or more, with their count."""
         rows = scratch.cut(rows)
-        return scratch.cut(rows.join(rows.groupBy("shard").count().where("count > 1").hint("shuffle_hash"), "shard"))
+        # written, so that the join's sides are plain and a hot shard's rows can be split among tasks
+        counts = scratch.cut(rows.groupBy("shard").count().where("count > 1"))
+        return scratch.cut(rows.join(counts.hint("shuffle_hash"), "shard"))
 
     def none(df: DataFrame) -> bool:
         return not df.limit(1).count()
