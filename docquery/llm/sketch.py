@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 from docquery.llm.common import table
 
 #: Hashes are kept if their top KEEP_BITS bits are zero: one in 2**KEEP_BITS.
-KEEP_BITS = 3
+KEEP_BITS = 2
 SHINGLE = 5
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
     """Hashes, with the sign bit cleared, of the shingles of ``size`` words (all words, if fewer)."""
     words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
-    n = F.size(words)
 
     def at(ws: Column, i: Column) -> Column:
         return F.xxhash64(*(F.get(ws, i + k) for k in range(size)))
@@ -39,7 +38,6 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
         last = F.greatest(F.size(ws) - size, F.lit(0))
         return F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftrightunsigned(at(ws, i), 1)))
 
-    del n
     # one-element transform: the words are split once and not for each use
     return F.get(F.transform(F.array(words), rolled), 0)
 
