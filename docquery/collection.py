@@ -8,6 +8,7 @@ delta and those base rows that the delta neither replaces nor removes.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,23 @@ class Collection:
         self.spark, self.name, self.config = spark, name.lower(), config or DbConfig()
         self.ids = IdManager(self.config.id_type)
         self.docs: dict[str, dict] = {}
-        self.base: DataFrame | None = None
+        self._base: DataFrame | None = None
+        self._load: Callable[[], DataFrame] | None = None
         self.gone: set[str] = set()
         self._schema = SchemaDict({self.config.id_key: FieldInfo(INT if self.config.id_type is IdType.INT else STRING)})
         self._frame: DataFrame | None = None
 
+    @property
+    def base(self) -> DataFrame | None:
+        """The registered table; it is read when first asked for."""
+        if self._load is not None:
+            self._base, self._load = self._load(), None
+        return self._base
+
+    @base.setter
+    def base(self, df: DataFrame | None) -> None:
+        self._base, self._load = df, None
+
     # names and schema
 
     def get_name(self) -> str:
@@ -258,4 +271,9 @@ class Collection:
         self.base, self.docs, self.gone = df, {}, set()
         self._changed()
 
+    def register_later(self, load: Callable[[], DataFrame]) -> None:
+        """Make a table the collection's base that is read when first used."""
+        self.docs, self.gone, self._load = {}, set(), load
+        self._changed()
+
 

@@ -67,6 +67,11 @@ class Database:
         return c
 
     def register_parquet(self, name: str, path: str, config: DbConfig | None = None) -> Collection:
+        """A Parquet table as a collection; with a config, its files are not touched before a query needs them."""
+        if config is not None:
+            c = self.create_with_config(name, config)
+            c.register_later(lambda: read_parquet(self.spark, path))
+            return c
         df = read_parquet(self.spark, path)
         c = self.create_with_config(name, config or DbConfig.none(df.columns[0]))
         c.register(df)

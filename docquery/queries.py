@@ -12,7 +12,8 @@ from docquery.database import Database
 from docquery.ids import DbConfig
 from docquery.plans.compiler import MISSING
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Tables and their id columns.
+TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
 
 
 @dataclass
@@ -25,8 +26,8 @@ class Spec:
 
 def open_tables(spark: SparkSession, sf_dir: str) -> Database:
     db = Database(spark)
-    for name in TABLES:
-        db.register_parquet(name, f"{sf_dir}/{name}.parquet")
+    for name, key in TABLES.items():
+        db.register_parquet(name, f"{sf_dir}/{name}.parquet", DbConfig.none(key))
     return db
 
 
