@@ -98,10 +98,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Every row with _source, _lang, _topic, _tokens, _probability and _sampled."""
     rows = weigh(docs, text_col, source_col, lang_col)
     keys = [f"_{d}" for d in DIMENSIONS]
-    cells = Scratch(docs.sparkSession, "cells").cut(rake(rows.groupBy(*keys).agg(F.sum("_tokens").alias("w")), targets, rounds, temper).drop("w"))
+    cells = Scratch(docs.sparkSession, "cells").cut(rake(rows.groupBy(*keys).agg(F.sum("_tokens").alias("w")), targets, rounds, temper).select(*keys, F.col("factor").alias("_factor")))
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    out = rows.join(cells, keys, "left").withColumn("_probability", F.least(F.lit(1.0), F.lit(rate) * F.col("factor"))).drop("factor")
+    out = rows.join(cells, keys, "left").withColumn("_probability", F.least(F.lit(1.0), F.lit(rate) * F.col("_factor"))).drop("_factor")
     return out.withColumn("_sampled", unit_hash(F.col(id_col)) < F.col("_probability"))
 
 

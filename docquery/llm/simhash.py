@@ -363,8 +363,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             rows = counted(left)
     label = components(edges.distinct(), scratch)
     group = nodes.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
-    kept = scratch.cut(group.select(F.col("first._id").alias("i"), F.col("first._h").alias("j"), F.lit(True).alias("_first")))
-    out = given.join(kept.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j")), "left")
+    kept = scratch.cut(group.select(F.col("first._id").alias("_i"), F.col("first._h").alias("_j"), F.lit(True).alias("_first")))
+    out = given.join(kept.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_j")), "left")
     # rows alike in id and text: one of them
     out = out.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0))))
     return out.withColumn("_kept", F.coalesce("_first", F.lit(False)) & (F.col("_row") == 1)).select(*docs.columns, "_kept")

@@ -340,9 +340,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.withColumns({"_i": F.col(id_col).cast("long"), "_h": F.xxhash64(text), "_text": text})
-    both = given.join(spans.withColumnsRenamed({"id": "_id", "h": "_h2"}), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
+    both = given.join(spans.withColumnsRenamed({"id": "_id", "h": "_h2", "spans": "_spans"}), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _kept {'string' if as_text else 'binary'}, _spans array<int>"
-    return both.select(*docs.columns, "_text", "spans").mapInArrow(released(cut), schema)
+    return both.select(*docs.columns, "_text", "_spans").mapInArrow(released(cut), schema)
 
 
 def repeat_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

@@ -55,9 +55,9 @@ def corpus(seed, copies=25):
 @pytest.mark.parametrize(("seed", "size"), [(1, 1024), (2, 10)])
 def test_near_duplicates_match_brute_force(spark, seed, size):
     rows = corpus(seed)
-    df = spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, fp string")
+    df = spark.createDataFrame([(*r, "f", 1, 2) for r in rows], "doc_id long, text string, fp string, i int, j int")
     got = near_duplicates(df, Scratch(spark, "t"), shard_size=size)
-    assert got.columns == ["doc_id", "text", "fp", "_kept"] and got.count() == len(rows)
+    assert got.columns == ["doc_id", "text", "fp", "i", "j", "_kept"] and got.count() == len(rows)
     kept = sorted(r.doc_id for r in got.where("_kept").collect())
     if size == 1024:
         assert kept == groups(rows)

@@ -28,7 +28,7 @@ def brute(rows, length, keep="none"):
 
 
 def run(spark, rows, length, **kw):
-    df = spark.createDataFrame([(*r, "m", 3) for r in rows], "doc_id long, text string, m string, h int")
+    df = spark.createDataFrame([(*r, "m", 3, "s", 1) for r in rows], "doc_id long, text string, m string, h int, spans string, id int")
     got = remove_repeats(df, Scratch(spark, "t"), length=length, **kw)
     return sorted(((r.doc_id, bytes(r._kept), len(r._spans) // 2) for r in got.collect()), key=str)
 
