@@ -82,17 +82,16 @@ def with_next(docs: DataFrame, order: str, carried: dict[str, Column], parts: in
     The rows are dealt to ``parts`` ranges by approximate quantiles of
     ``order``, so no single task has all rows; each range also gets, as its
     end, a copy of the row that begins the next one that has rows.  What is
-    broadcast are two tables of at most ``parts`` rows.
+    broadcast is a table of at most ``parts`` + 1 rows.
     """
     cuts = docs.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
     cuts = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
     placed = docs.withColumn("_part", F.when(F.col(order).isNull(), -1).otherwise(part))
     first = placed.groupBy("_part").agg(F.min(F.struct(*placed_key(order))).alias("_first"))
-    seq = Window.partitionBy(F.lit(0)).orderBy("_part")
-    ring = first.select("_first", F.coalesce(F.lag("_part").over(seq), F.lit(None)).alias("_before"), F.col("_part"))
-    last = first.agg(F.max("_part").alias("_last"))
-    ring = ring.crossJoin(F.broadcast(last)).select(F.col("_part").alias("_of"), "_first", F.coalesce("_before", "_last").alias("_before"), (F.col("_before").isNull()).alias("_wraps"))
+    whole = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("_part").over(whole.orderBy("_part")), F.max("_part").over(whole))
+    ring = first.select(F.col("_part").alias("_of"), "_first", before.alias("_before"))
     # a range's first row, once, as the end of the range before
     key = F.struct(*placed_key(order))
     ends = (
