@@ -80,14 +80,15 @@ def with_next(docs: DataFrame, order: str, carried: dict[str, Column], parts: in
     """Rows with ``next_<name>`` of the row that follows by ``order`` (nulls first, the first follows the last).
 
     The rows are dealt to ``parts`` ranges by approximate quantiles of
-    ``order``, so no single task has all rows; each range also gets, as its
+    ``order``, those without one to 256 ranges of the texts' digests, so no
+    single task has all rows; each range also gets, as its
     end, a copy of the row that begins the next one that has rows.  What is
-    broadcast is a table of at most ``parts`` + 1 rows.
+    broadcast is a table of at most ``parts`` + 256 rows.
     """
     cuts = docs.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
     cuts = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = docs.withColumn("_part", F.when(F.col(order).isNull(), -1).otherwise(part))
+    placed = docs.withColumn("_part", F.when(F.col(order).isNull(), F.conv(F.substring(placed_key(order)[1], 1, 2), 16, 10).cast("int") - 256).otherwise(part))
     first = placed.groupBy("_part").agg(F.min(F.struct(*placed_key(order))).alias("_first"))
     whole = Window.partitionBy(F.lit(0))
     before = F.coalesce(F.lag("_part").over(whole.orderBy("_part")), F.max("_part").over(whole))
