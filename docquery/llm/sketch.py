@@ -25,6 +25,8 @@ from docquery.llm.common import table
 #: Hashes are kept if their top KEEP_BITS bits are zero: one in 2**KEEP_BITS.
 KEEP_BITS = 2
 SHINGLE = 5
+#: Ranges of ids: one for so many rows, or as many as there are shuffle partitions; every row is compared with all bounds.
+RANGE_ROWS, MOST_RANGES = 20_000, 4_000
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -119,7 +121,7 @@ def placed_order(order: str) -> list[Column]:
 def edited_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(id, text, sketch, edited, edited_sketch, next_sketch) for every row; the edited text ends as the next document begins."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(docs.count() // RANGE_ROWS, MOST_RANGES))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     near = with_next(rows, "id", {"sketch": sketch(F.col("text"))}, parts)
     half = F.floor(F.char_length("text") / 2).cast("int")
