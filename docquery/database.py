@@ -17,12 +17,14 @@ from docquery.plans.parser import parse
 from docquery.sources.schema_files import CompactSchema, check_config, collection_name, parse_compact, read_json
 from docquery.sources.tables import as_collection, read_json_lines, read_parquet
 from docquery.types import ReferenceColumn, SchemaWithRefs, decode, kind_of
+from docquery.workers import let_import
 
 
 class Database:
     """Collection names are case-insensitive.  ``compat`` keeps the quirks that the README lists."""
 
     def __init__(self, spark: SparkSession, config: DbConfig | None = None, compat: bool = False) -> None:
+        let_import(spark)
         self.spark, self.config, self.compat = spark, config or DbConfig(), compat
         self.collections: dict[str, Collection] = {}
         self.references: list[ReferenceColumn] = []
