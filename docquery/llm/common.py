@@ -12,13 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquery.workers import let_import
+
 #: Seconds the cleaner, which works in the background, gets to delete files.
 CLEANING_S = 1.0
 BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches to Python hold BATCH_BYTES at most, however long the texts are."""
+    """Batches to Python hold about BATCH_BYTES, however long the texts are; workers find this package."""
+    let_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
