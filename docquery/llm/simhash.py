@@ -32,7 +32,6 @@ from docquery.llm.components import components
 from docquery.llm.kernels import SPACE, byte_table, lower_ascii, mix, prefix_hash, range_hash, released, rolling_hash, row_of, slices, words
 
 CHUNK = 1 << 15
-MEMBERS = 16
 
 
 def simhash(text: bytes, size: int = 3) -> int:
@@ -283,6 +282,22 @@ def shard_groups(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
     return rows.select("shard", "node", "fp", "set").mapInArrow(released(run), "u long, v long")
 
 
+def block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """rows(shard, node, label, main(count, label), n) -> (shard, node), a shard for each pair of blocks that nodes of different labels can be in.
+
+    Nodes of a shard's main label need not meet one another: the others are
+    dealt to blocks that meet all blocks of the main label and one another.
+    """
+    at_least_one = lambda x: F.greatest(F.lit(1), F.ceil(x / block))
+    own, others = at_least_one(F.col("main.count")), at_least_one(F.col("n") - F.col("main.count"))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    rows = rows.withColumns({"m": own, "r": others, "in_main": F.col("label") == F.col("main.label")})
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("in_main"), F.col("m")).otherwise(F.col("r"))))
+    with_main = F.when(F.col("in_main"), F.transform(to(F.col("r")), lambda i: F.xxhash64("shard", F.lit("main"), i, "at"))).otherwise(F.transform(to(F.col("m")), lambda j: F.xxhash64("shard", F.lit("main"), "at", j)))
+    with_others = F.transform(F.filter(to(F.col("r")), lambda j: j != F.col("at")), lambda j: F.xxhash64("shard", F.lit("others"), F.least(j, "at"), F.greatest(j, "at")))
+    return rows.select("node", F.explode(F.when(F.col("in_main"), with_main).otherwise(F.concat(with_main, with_others))).alias("shard"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, radius: int = 22, shard_size: int = 1024) -> DataFrame:
     """docs with ``_kept``: true for one row of each group of texts linked by Jaccard similarity ``threshold`` of ``size``-word shingles, the first by id.
 
@@ -294,9 +309,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     words are one node from the start.
 
     A shard of more than ``shard_size`` nodes is split by every other key of
-    its nodes.  What is then still larger is a group of near copies: it is
-    dealt to blocks, of each group found in a block the first and MEMBERS - 1
-    others go on, and so forth until one block holds the rest.
+    its nodes.  What is then still larger is dealt to blocks, and the groups
+    found so far are labelled.  A shard of one label is settled; in the others
+    every two nodes of different labels meet in a pair of blocks.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text)})
@@ -347,20 +362,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     if not none(large):
         again = large.select("shard", "node").join(nodes.select("node", F.posexplode("keys").alias("k", "key")), "node")
         rows = counted(again.where(F.xxhash64("k", "key") != F.col("shard")).select("node", F.xxhash64("shard", "k", "key").alias("shard")).union(large.join(nodes.where("size(keys) < 2"), "node", "left_semi").select("node", "shard")))
-        most = shard_size
-        while True:
-            limit = F.lit(most)
-            part = solve(rows, F.when(F.col("count") <= limit, F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("count") / limit)))))
-            edges = edges.union(part)
-            over = rows.where(F.col("count") > limit).select("shard", "node")
-            if none(over):
-                break
-            some = part.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u"), "u"))).where(F.col("r") < MEMBERS).select(F.col("u").alias("node"))
-            inner = scratch.cut(part.select(F.col("u").alias("node")).distinct().join(some, "node", "left_anti"))
-            left = scratch.cut(over.join(inner, "node", "left_anti"))
-            if left.count() > 0.7 * over.count():
-                most *= 2
-            rows = counted(left)
+        edges = edges.union(solve(rows, F.when(F.col("count") <= shard_size, F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("count") / shard_size))))))
+        over = rows.where(F.col("count") > shard_size).select("shard", "node")
+        if not none(over):
+            label = components(edges.distinct(), scratch)
+            marked = scratch.cut(over.join(label, "node", "left").select("shard", "node", F.coalesce("label", "node").alias("label")))
+            tally = marked.groupBy("shard", "label").count()
+            apart = scratch.cut(tally.groupBy("shard").agg(F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("n")).where("main.count < n"))
+            edges = edges.union(solve(block_pairs(marked.join(apart.hint("shuffle_hash"), "shard"), shard_size // 2), F.col("shard")))
     label = components(edges.distinct(), scratch)
     group = nodes.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     kept = scratch.cut(group.select(F.col("first._id").alias("_i"), F.col("first._h").alias("_j"), F.lit(True).alias("_first")))

@@ -118,3 +118,28 @@ def test_nulls_in_any_column(spark, tmp_path):
     spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got <= {1, None}
+
+
+def star(copies, words=300, edits=5, seed=4):
+    """An original and copies that are like it, but not like one another."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = [base]
+    for _ in range(copies):
+        w = list(base)
+        for k in rnd.sample(range(0, words - 10, 10), edits):
+            w[k + rnd.randrange(5) + 3] = f"z{rnd.randrange(10**9)}"
+        rows.append(w)
+    rnd.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_a_group_held_together_by_its_original_keeps_one_row(spark):
+    df = spark.createDataFrame(star(3000), "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in near_duplicates(df, Scratch(spark, "t")).where("_kept").collect()] == [0]
+
+
+def test_groups_are_whole_however_small_the_shards(spark):
+    rows = corpus(2) + [(10**6 + i, t) for i, t in star(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicates(df, Scratch(spark, "t"), shard_size=10).where("_kept").collect()) == groups(rows)
