@@ -32,6 +32,8 @@ from docquery.llm.components import components
 from docquery.llm.kernels import SPACE, byte_table, lower_ascii, mix, prefix_hash, range_hash, released, rolling_hash, row_of, slices, words
 
 CHUNK = 1 << 15
+#: Values of a shard's sets that are multiplied at once.
+TERMS = 4096
 
 
 def simhash(text: bytes, size: int = 3) -> int:
@@ -220,8 +222,8 @@ def simhash_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id"
     return fps.join(classes, "fp")
 
 
-def signatures(data: np.ndarray, off: np.ndarray, size: int, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each row, over its shingles of ``size`` words (A-Z lower-cased; all words, if fewer): SimHash, ``keys`` minimum hashes, a hash of all words, and the 32-bit shingle hashes with their row boundaries."""
+def signatures(data: np.ndarray, off: np.ndarray, size: int, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row, over its shingles of ``size`` words (A-Z lower-cased; all words, if fewer): ``keys`` minimum hashes, a hash of all words, and the 32-bit shingle hashes with their row boundaries."""
     data = lower_ascii(data)
     s, e, rows = words(data, off, SPACE)
     row, n_rows = row_of(rows, len(s)), len(off) - 1
@@ -235,13 +237,11 @@ def signatures(data: np.ndarray, off: np.ndarray, size: int, keys: int) -> tuple
     value, of = value[order], of[order]
     cut = np.searchsorted(of, np.arange(n_rows + 1))
     full = np.flatnonzero(np.diff(cut))
-    fp, least = np.zeros(n_rows, dtype=np.uint64), np.zeros((n_rows, keys), dtype=np.uint64)
+    least = np.zeros((n_rows, keys), dtype=np.uint64)
     if len(full):
-        ones = np.stack([np.add.reduceat(value >> np.uint64(b) & np.uint64(1), cut[full]) for b in range(64)], axis=1)
-        fp[full] = np.packbits(2 * ones > np.diff(cut)[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
         for k in range(keys):
             least[full, k] = np.minimum.reduceat(mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))), cut[full])
-    return fp, least, whole, (value >> np.uint64(32)).astype(np.uint32), cut
+    return least, whole, (value >> np.uint64(32)).astype(np.uint32), cut
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -252,34 +252,61 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return common >= threshold * (len(a) + len(b) - common)
 
 
-def shard_groups(rows: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """rows(shard, node, fp, set), whole shards sorted -> (u, v): each node's verified link to the first of its group, within a shard."""
+def alike(flat: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b), a > b, of the sets flat[at[i]:at[i + 1]] whose Jaccard similarity is at least the threshold.
+
+    Every pair's common values are counted: values of many sets by products of
+    0/1 matrices, the others by the pairs of rows that hold one.
+    """
+    n = len(at) - 1
+    if n <= 3:
+        pairs = [(i, j) for i in range(n) for j in range(i) if similar(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], threshold)]
+        return np.array([i for i, _ in pairs], dtype=np.int64), np.array([j for _, j in pairs], dtype=np.int64)
+    sizes = np.diff(at).astype(np.int64)
+    values, row = flat[at[0] : at[-1]], np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    held = np.diff(np.append(first, len(values)))
+    term, often = np.repeat(np.arange(len(first)), held), np.repeat(held, held)
+    common = np.zeros((n, n), dtype=np.float32)
+    many = max(8, n // 8)
+    dense = often > many
+    if dense.any():
+        r, t = row[dense], np.unique(term[dense], return_inverse=True)[1]
+        for lo in range(0, int(t.max()) + 1, TERMS):
+            a, z = np.searchsorted(t, (lo, lo + TERMS))
+            has = np.zeros((n, int(t[z - 1]) - lo + 1), dtype=np.float32)
+            has[r[a:z], t[a:z] - lo] = 1
+            common += has @ has.T
+    few = (often > 1) & ~dense
+    r, t = row[few], term[few]
+    for k in range(1, many):
+        same = t[k:] == t[: len(t) - k]
+        if not same.any():
+            break
+        # rows of a value ascend
+        np.add.at(common, (r[k:][same], r[: len(r) - k][same]), 1)
+    a, b = np.nonzero(np.tril((common > 0) & (common >= threshold * (sizes[:, None] + sizes[None, :] - common)), -1))
+    return a, b
+
+
+def shard_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows(shard, node, set), whole shards sorted -> (u, v): each node's link to the first of its group, within a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_shard(batches, 4096):
-            fp = np.ascontiguousarray(t.column("fp").to_numpy()).view(np.uint64)
-            root = roots(t.column("shard").to_numpy())
-            sets = t.column("set").combine_chunks()
+            first, sets, node = roots(t.column("shard").to_numpy()), t.column("set").combine_chunks(), t.column("node").to_numpy()
             at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
-            parent = list(range(len(fp)))
-
-            def find(i: int, parent: list[int] = parent) -> int:
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            for q, x in search(fp, root, forest(fp, root), radius):
-                for i, j in zip(q.tolist(), x.tolist(), strict=True):
-                    a, b = find(i), find(j)
-                    if a != b and similar(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], threshold):
-                        parent[max(a, b)] = min(a, b)
-            node = t.column("node").to_numpy()
-            top = np.array([find(i) for i in range(len(fp))], dtype=np.int64)
-            own = np.flatnonzero(top != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], names=["u", "v"])
+            parent = np.arange(len(node))
+            begins = np.unique(first)
+            for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(node)], strict=True):
+                a, b = alike(flat, at[lo : hi + 1], threshold)
+                hook(parent, a + lo, b + lo)
+            own = np.flatnonzero(parent != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[parent[own]])], names=["u", "v"])
 
-    return rows.select("shard", "node", "fp", "set").mapInArrow(released(run), "u long, v long")
+    return rows.select("shard", "node", "set").mapInArrow(released(run), "u long, v long")
 
 
 def block_pairs(rows: DataFrame, block: int) -> DataFrame:
@@ -298,15 +325,15 @@ def block_pairs(rows: DataFrame, block: int) -> DataFrame:
     return rows.select("node", F.explode(F.when(F.col("in_main"), with_main).otherwise(F.concat(with_main, with_others))).alias("shard"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, radius: int = 22, shard_size: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, shard_size: int = 1024) -> DataFrame:
     """docs with ``_kept``: true for one row of each group of texts linked by Jaccard similarity ``threshold`` of ``size``-word shingles, the first by id.
 
-    64 bits at a similarity of 0.8 are up to 20 apart, too far for blocks of
-    equal bits, so here the shards of the BK-trees are keyed by minimum shingle
-    hashes: two such texts share one of ``keys`` with probability
-    1 - (1 - threshold) ** keys, 0.99994 by default.  A shard's tree proposes
-    pairs within ``radius`` bits and the shingle sets decide.  Texts of equal
-    words are one node from the start.
+    64 SimHash bits at a similarity of 0.8 are too far apart for blocks of
+    equal bits, and no radius bounds them for sets.  So here shards are keyed
+    by minimum shingle hashes: two such texts share one of ``keys`` with
+    probability 1 - (1 - threshold) ** keys, 0.99994 by default.  The shingle
+    sets of every pair of a shard are compared.  Texts of equal words are one
+    node from the start.
 
     A shard of more than ``shard_size`` nodes is split by every other key of
     its nodes.  What is then still larger is dealt to blocks, and the groups
@@ -321,20 +348,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, data, off in slices(b, "text"):
-                fp, least, whole, _, cut = signatures(data, off, size, keys)
+                least, whole, _, cut = signatures(data, off, size, keys)
                 has = np.diff(cut) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * keys)]).astype(np.int32)), pa.array(least[has].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), lists], names=["_id", "_h", "node", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole.view(np.int64)), lists], names=["_id", "_h", "node", "keys"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, data, off in slices(b, "text"):
-                _, _, _, value, cut = signatures(data, off, size, 0)
+                _, _, value, cut = signatures(data, off, size, 0)
                 sets = [np.unique(value[a:z]).view(np.int32) for a, z in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "set"])
 
-    signed = base.mapInArrow(released(sign), f"_id {kind}, _h long, node long, fp long, keys array<long>")
-    nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    signed = base.mapInArrow(released(sign), f"_id {kind}, _h long, node long, keys array<long>")
+    nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("keys").alias("keys")))
     scratch.release()
 
     def counted(rows: DataFrame) -> DataFrame:
@@ -350,12 +377,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rows = counted(nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("shard")))
     wanted = rows.select("node").distinct().join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
     sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(released(gather), "node long, set array<int>")
-    members = scratch.cut(sets.dropDuplicates(["node"]).join(nodes.select("node", "fp"), "node"))
+    members = scratch.cut(sets.dropDuplicates(["node"]))
     scratch.release()
 
     def solve(rows: DataFrame, block) -> DataFrame:
         dealt = rows.select("node", block.alias("shard")).join(members, "node")
-        return scratch.cut(shard_groups(dealt.repartition("shard").sortWithinPartitions("shard", "node"), radius, threshold))
+        return scratch.cut(shard_groups(dealt.repartition("shard").sortWithinPartitions("shard", "node"), threshold))
 
     small, large = rows.where(F.col("count") <= shard_size), rows.where(F.col("count") > shard_size)
     edges = solve(small, F.col("shard"))

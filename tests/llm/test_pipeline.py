@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from docquery.llm.common import Scratch, table
-from docquery.llm.simhash import near_duplicates
+from docquery.llm.simhash import alike, near_duplicates
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -143,3 +144,24 @@ def test_groups_are_whole_however_small_the_shards(spark):
     rows = corpus(2) + [(10**6 + i, t) for i, t in star(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_duplicates(df, Scratch(spark, "t"), shard_size=10).where("_kept").collect()) == groups(rows)
+
+
+def test_all_similar_pairs_of_a_shard_are_found():
+    rnd = random.Random(6)
+    for n, least in ((2, 1), (3, 1), (40, 1), (90, 200)):
+        pool = rnd.sample(range(-(2**31), 2**31), 400)
+        sets = [sorted(rnd.sample(pool[:least + 20], least) if i % 3 else rnd.sample(pool, rnd.randint(1, 9))) for i in range(n)]
+        at = np.cumsum([0] + [len(x) for x in sets])
+        a, b = alike(np.array(sum(sets, [7, 7]), dtype=np.int32), at + 2, 0.8)
+        expected = [(i, j) for i in range(n) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == expected
+
+
+def test_texts_that_repeat_a_line_differently_are_near_copies(spark):
+    rnd = random.Random(5)
+    rows = []
+    for g in range(20):
+        body, line = ([f"{x}{g}x{rnd.randrange(10**6)}" for _ in range(n)] for x, n in (("b", 300), ("l", 25)))
+        rows += [(2 * g, " ".join(body + line)), (2 * g + 1, " ".join(body + 30 * line))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicates(df, Scratch(spark, "t")).where("_kept").collect()) == [2 * g for g in range(20)] == groups(rows)
