@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import islice, repeat
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -335,10 +336,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     sets of every pair of a shard are compared.  Texts of equal words are one
     node from the start.
 
-    A shard of more than ``shard_size`` nodes is split by every other key of
-    its nodes.  What is then still larger is dealt to blocks, and the groups
-    found so far are labelled.  A shard of one label is settled; in the others
-    every two nodes of different labels meet in a pair of blocks.
+    A shard of more than ``shard_size`` nodes is split into cells of two
+    adjacent classes of set size, which no similar pair is further apart.  What
+    is then still larger is dealt to blocks, and the groups found so far are
+    labelled.  A shard of one label is settled; in the others every two nodes
+    of different labels meet in a pair of blocks.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text)})
@@ -364,11 +366,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("keys").alias("keys")))
     scratch.release()
 
-    def counted(rows: DataFrame) -> DataFrame:
-        """rows(shard, node) of shards that hold two nodes or more, with their count."""
+    def counted(rows: DataFrame, own: str = "true") -> DataFrame:
+        """rows(shard, node) of shards that hold two nodes or more and one with ``own``, with their count."""
         rows = scratch.cut(rows)
         # written, so that the join's sides are plain and a hot shard's rows can be split among tasks
-        counts = scratch.cut(rows.groupBy("shard").count().where("count > 1"))
+        counts = scratch.cut(rows.groupBy("shard").agg(F.count("*").alias("count"), F.max(F.expr(own)).alias("any")).where("count > 1 and any").select("shard", "count"))
         return scratch.cut(rows.join(counts.hint("shuffle_hash"), "shard"))
 
     def none(df: DataFrame) -> bool:
@@ -387,8 +389,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     small, large = rows.where(F.col("count") <= shard_size), rows.where(F.col("count") > shard_size)
     edges = solve(small, F.col("shard"))
     if not none(large):
-        again = large.select("shard", "node").join(nodes.select("node", F.posexplode("keys").alias("k", "key")), "node")
-        rows = counted(again.where(F.xxhash64("k", "key") != F.col("shard")).select("node", F.xxhash64("shard", "k", "key").alias("shard")).union(large.join(nodes.where("size(keys) < 2"), "node", "left_semi").select("node", "shard")))
+        # a little wider than the threshold, so that rounding parts no pair by two classes
+        sized = members.select("node", F.floor(F.log(F.size("set")) / (1.001 * -log(threshold))).alias("class"))
+        cells = large.select("shard", "node").join(sized, "node").select("shard", "node", "class", F.explode(F.array("class", F.col("class") + 1)).alias("cell"))
+        rows = counted(cells.select("node", F.xxhash64("shard", "cell").alias("shard"), (F.col("class") == F.col("cell")).alias("own")), "own")
         edges = edges.union(solve(rows, F.when(F.col("count") <= shard_size, F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("count") / shard_size))))))
         over = rows.where(F.col("count") > shard_size).select("shard", "node")
         if not none(over):

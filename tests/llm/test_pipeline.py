@@ -165,3 +165,29 @@ def test_texts_that_repeat_a_line_differently_are_near_copies(spark):
         rows += [(2 * g, " ".join(body + line)), (2 * g + 1, " ".join(body + 30 * line))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_duplicates(df, Scratch(spark, "t")).where("_kept").collect()) == [2 * g for g in range(20)] == groups(rows)
+
+
+def test_one_shared_key_is_enough_in_a_large_shard(spark):
+    """As few keys as one: pairs that share only the hot shard's key are compared."""
+    rnd = random.Random(8)
+    rows = []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(rnd.randint(30, 300))]
+        other = [f"x{rnd.randrange(10**6)}" if i == 0 else w for i, w in enumerate(base)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    import docquery.llm.simhash as module
+
+    plain = module.signatures
+    try:
+        # all texts share the first key, and no two of them another
+        def hot(data, off, size, keys):
+            *others, whole, value, cut = plain(data, off, size, keys)
+            others[-1][:] = np.arange(keys, dtype=np.uint64)[None, :] * whole[:, None]
+            return (*others, whole, value, cut)
+
+        module.signatures = hot
+        got = near_duplicates(df, Scratch(spark, "t"), shard_size=20)
+        assert sorted(r.doc_id for r in got.where("_kept").collect()) == [2 * g for g in range(150)] == groups(rows)
+    finally:
+        module.signatures = plain
