@@ -9,7 +9,9 @@ Sampling hashes the id, so it is repeatable and needs no shuffle.
 Targets are shares for each value of a dimension; values without one, and
 dimensions without any, aim at their present share raised to ``temper`` (1
 keeps the present mix, 0 makes all values equal), and a dimension's shares are
-scaled to sum to one.  A cell's probability is rate * factor, at most 1.
+scaled to sum to one.  A cell's probability is rate * factor, at most 1.  That
+cut takes cells off their targets; with ``settle`` the rate is lowered until
+no cell is cut, so that the sampled shares are the raked ones.
 
 Nulls: a null source or language is the value "unknown", a null text has no
 tokens, a null id is sampled as an empty one.  Cells without tokens keep factor
@@ -94,11 +96,15 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return out.select(*[f"_{d}" for d in DIMENSIONS], "w", "factor")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, temper: float = TEMPER, settle: bool = False) -> DataFrame:
     """Every row with _source, _lang, _topic, _tokens, _probability and _sampled."""
     rows = weigh(docs, text_col, source_col, lang_col)
     keys = [f"_{d}" for d in DIMENSIONS]
-    cells = Scratch(docs.sparkSession, "cells").cut(rake(rows.groupBy(*keys).agg(F.sum("_tokens").alias("w")), targets, rounds, temper).select(*keys, F.col("factor").alias("_factor")))
+    cells = Scratch(docs.sparkSession, "cells").cut(rake(rows.groupBy(*keys).agg(F.sum("_tokens").alias("w")), targets, rounds, temper).select(*keys, F.col("factor").alias("_factor"), F.col("w").alias("_weight")))
+    if settle:
+        # cells without tokens do not weigh
+        rate = min(rate, 1 / (cells.where("_weight > 0").agg(F.max("_factor")).first()[0] or 1.0))
+    cells = cells.drop("_weight")
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     out = rows.join(cells, keys, "left").withColumn("_probability", F.least(F.lit(1.0), F.lit(rate) * F.col("_factor"))).drop("_factor")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docquery.llm.mixing import mix, rake
 
 
@@ -31,3 +32,21 @@ def test_nulls_ties_and_clashing_names(spark):
     got = mix(df).collect()
     assert len(got) == 5 and all(0 <= r._probability <= 1 for r in got)
     assert mix(df.where("false")).count() == 0
+
+
+def test_the_pipeline_samples_its_target_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    weighed = mix(docs, rate=corpus_pipeline.MIX_RATE, settle=True).withColumn("_p", F.col("_tokens") * F.col("_probability")).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("w"), F.sum("_p").alias("p"), F.max("_probability").alias("most")).collect()
+    kept = corpus_pipeline.mixture(spark, docs, "").select("doc_id", "probability").collect()
+    assert max(r.most for r in weighed if r.w) == pytest.approx(1.0) and max(r.probability for r in kept) <= 1.0
+    whole, total = sum(r.w for r in weighed), sum(r.p for r in weighed)
+    for d in ("_source", "_lang", "_topic"):
+        now, got = {}, {}
+        for r in weighed:
+            now[r[d]] = now.get(r[d], 0) + r.w / whole
+            got[r[d]] = got.get(r[d], 0) + r.p / total
+        wanted = {k: v**0.5 / sum(x**0.5 for x in now.values()) for k, v in now.items()}
+        assert got == pytest.approx(wanted, abs=0.01)
+    probability = {r.doc_id: r.probability for r in kept}
+    sampled = mix(docs, rate=corpus_pipeline.MIX_RATE, settle=True).where("_sampled").select("doc_id", "_probability").collect()
+    assert probability == {r.doc_id: r._probability for r in sampled}
