@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.workers import let_import
@@ -31,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where the setting is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where it is unset, a folder of our own on one machine (tests) and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docquery-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -82,6 +85,23 @@ class Scratch:
         time.sleep(CLEANING_S)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that no column of df has, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def lower_ascii(text: str | object):
     """A-Z to a-z, all other characters unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,9 +2,15 @@
 
 Texts stay in the Arrow buffers they arrive in: a batch is one byte array plus
 row offsets, and words, windows and hashes are computed for the whole batch
-with numpy.  Hashes are polynomials modulo 2**64 over mixed values; every
-caller that must be exact follows a hash match with a longer independent hash
-or with a comparison of the texts themselves.
+with numpy.
+
+There are two kinds of hashes.  ``prefix_hash``, ``range_hash`` and
+``rolling_hash`` are polynomials modulo 2**64: cheap, equal for equal ranges,
+but long texts can be made that collide under any multiplier.  They only
+select candidates.  What decides (``sound_*``, ``digests``) are polynomials
+modulo the prime 2**31 - 1, each lane with a base of its own, so that two
+texts of n values agree in a lane with probability n / 2**31 at most, or
+XXH3 digests of the bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15 | 1)
@@ -28,6 +35,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         _POWERS.clear()
+        _PRIME_POWERS.clear()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -84,6 +92,78 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), inverse=True)[start])
 
 
+PRIME = U64((1 << 31) - 1)
+_PRIME_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**63."""
+    x = (x & PRIME) + (x >> U64(31))
+    x = (x & PRIME) + (x >> U64(31))
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def _prime_powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the lane's base and of its inverse."""
+    have = _PRIME_POWERS.get(seed)
+    if have is None or len(have[0]) < n:
+        size = max(n, 1 << 16)
+        base = int(mix(np.array([seed + 1], dtype=U64) * U64(0xD1342543DE82EF95))[0]) % (int(PRIME) - 3) + 2
+        out = []
+        for b in (base, pow(base, -1, int(PRIME))):
+            p = np.ones(size, dtype=U64)
+            k, step = 1, b
+            while k < size:
+                z = min(2 * k, size)
+                p[k:z] = _reduced(p[: z - k] * U64(step))
+                k, step = 2 * k, step * step % int(PRIME)
+            out.append(p)
+        have = (out[0], out[1])
+        if size <= 16 * SLICE_BYTES:
+            _PRIME_POWERS[seed] = have
+    return have
+
+
+def sound_prefix(data: np.ndarray, seed: int) -> np.ndarray:
+    """Prefix sums over bytes in the lane ``seed``."""
+    key = -1 - seed
+    if key not in _TABLES:
+        _TABLES[key] = byte_table(seed) % (PRIME - U64(1)) + U64(1)
+    x = _TABLES[key][data] * _prime_powers(seed, len(data))[0][: len(data)]
+    out = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum((x & PRIME) + (x >> U64(31)), dtype=U64, out=out[1:])
+    return out
+
+
+def sound_range(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """31 bits: the lane's hash of data[start:end], independent of where the range lies."""
+    return _reduced(_reduced(prefix[end] - prefix[start]) * _prime_powers(seed, len(prefix))[1][start])
+
+
+def sound_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, int]) -> np.ndarray:
+    """62 bits of two lanes for each range, mixed to 64."""
+    a, b = (sound_range(sound_prefix(data, x), start, end, x) for x in seeds)
+    return mix(a << U64(31) | b)
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 with 128 bits of each range, as two columns of signed integers."""
+    hashed = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([hashed(raw[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a slice with one space after each that something follows, and the words' bounds in it: runs of words are equal as the bytes they span."""
+    keep = covered(len(data), starts, ends - starts) if len(starts) else np.zeros(len(data), dtype=bool)
+    space = np.zeros(len(data), dtype=bool)
+    space[ends[ends < len(data)]] = True
+    space &= ~keep
+    at = np.cumsum(keep | space)
+    out = np.where(space, np.uint8(0x20), data)[keep | space]
+    return out.tobytes(), at[starts] - 1, at[ends - 1]
+
+
 def rolling_hash(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` values."""
     n = len(values) - size + 1

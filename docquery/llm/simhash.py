@@ -25,12 +25,12 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquery.llm.common import Scratch, table
+from docquery.llm.common import Scratch, fresh, quoted, table
 from docquery.llm.components import components
-from docquery.llm.kernels import SPACE, byte_table, lower_ascii, mix, prefix_hash, range_hash, released, rolling_hash, row_of, slices, words
+from docquery.llm.kernels import SPACE, digests, joined, lower_ascii, mix, released, rolling_hash, row_of, slices, sound_hash, words
 
 CHUNK = 1 << 15
 #: Values of a shard's sets that are multiplied at once.
@@ -224,15 +224,18 @@ def simhash_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id"
 
 
 def signatures(data: np.ndarray, off: np.ndarray, size: int, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each row, over its shingles of ``size`` words (A-Z lower-cased; all words, if fewer): ``keys`` minimum hashes, a hash of all words, and the 32-bit shingle hashes with their row boundaries."""
+    """For each row, over its shingles of ``size`` words (A-Z lower-cased; all words, if fewer): ``keys`` minimum hashes, an XXH3 hash of its words, and the 32-bit shingle hashes with their row boundaries."""
     data = lower_ascii(data)
     s, e, rows = words(data, off, SPACE)
     row, n_rows = row_of(rows, len(s)), len(off) - 1
-    h = range_hash(prefix_hash(byte_table(41)[data]), s, e)
-    whole = range_hash(prefix_hash(h), rows[:-1], rows[1:])
+    h = sound_hash(data, s, e, (41, 42))
+    raw, begin, end = joined(data, s, e)
+    begin, end = np.append(begin, 0), np.append(end, 0)
+    full = np.diff(rows) > 0
+    whole = digests(raw, np.where(full, begin[rows[:-1]], 0), np.where(full, end[rows[1:] - 1], 0))[:, 0].view(np.uint64)
     roll = rolling_hash(h, size)
     at = np.flatnonzero(row[: len(roll)] == row[len(h) - len(roll) :])
-    short = np.flatnonzero((np.diff(rows) < size) & (np.diff(rows) > 0))
+    short = np.flatnonzero((np.diff(rows) < size) & full)
     value, of = np.concatenate([roll[at], mix(whole[short])]), np.concatenate([row[at], short])
     order = np.argsort(of, kind="stable")
     value, of = value[order], of[order]
@@ -293,58 +296,76 @@ def alike(flat: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarra
 
 
 def shard_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows(shard, node, set), whole shards sorted -> (u, v): each node's link to the first of its group, within a shard."""
+    """rows(shard, base, node, set), whole shards sorted -> (base, u, v): each node's link to its group's hub, the node with most links in the shard (ties: the first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_shard(batches, 4096):
             first, sets, node = roots(t.column("shard").to_numpy()), t.column("set").combine_chunks(), t.column("node").to_numpy()
             at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
-            parent = np.arange(len(node))
+            parent, degree = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
             begins = np.unique(first)
             for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(node)], strict=True):
                 a, b = alike(flat, at[lo : hi + 1], threshold)
+                degree += np.bincount(np.concatenate([a, b]) + lo, minlength=len(node))
                 hook(parent, a + lo, b + lo)
-            own = np.flatnonzero(parent != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[parent[own]])], names=["u", "v"])
+            order = np.lexsort((-degree, parent))
+            hub = order[np.searchsorted(parent[order], parent)]
+            own = np.flatnonzero((hub != np.arange(len(node))) & (degree > 0))
+            yield pa.RecordBatch.from_arrays([t.column("base").combine_chunks().take(pa.array(own)), pa.array(node[own]), pa.array(node[hub[own]])], names=["base", "u", "v"])
 
-    return rows.select("shard", "node", "set").mapInArrow(released(run), "u long, v long")
+    return rows.select("shard", "base", "node", "set").mapInArrow(released(run), "base long, u long, v long")
 
 
-def block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """rows(shard, node, label, main(count, label), n) -> (shard, node), a shard for each pair of blocks that nodes of different labels can be in.
+def block_pairs(rows: DataFrame, block: int, widest: int) -> DataFrame:
+    """rows(base, node, class, count, main) -> (shard, base, node), a shard for each pair of blocks in which nodes of different labels can be alike.
 
-    Nodes of a shard's main label need not meet one another: the others are
-    dealt to blocks that meet all blocks of the main label and one another.
+    ``class`` is the class of a node's set size: nodes more than one class
+    apart are not alike.  ``main`` marks the nodes of the shard's largest
+    label, which need not meet one another.  ``count`` has the nodes of each
+    (class, main) of the shard; blocks hold about ``block`` nodes of one of
+    these.  A pair of blocks is emitted only if the shard has both.
     """
-    at_least_one = lambda x: F.greatest(F.lit(1), F.ceil(x / block))
-    own, others = at_least_one(F.col("main.count")), at_least_one(F.col("n") - F.col("main.count"))
-    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    rows = rows.withColumns({"m": own, "r": others, "in_main": F.col("label") == F.col("main.label")})
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("in_main"), F.col("m")).otherwise(F.col("r"))))
-    with_main = F.when(F.col("in_main"), F.transform(to(F.col("r")), lambda i: F.xxhash64("shard", F.lit("main"), i, "at"))).otherwise(F.transform(to(F.col("m")), lambda j: F.xxhash64("shard", F.lit("main"), "at", j)))
-    with_others = F.transform(F.filter(to(F.col("r")), lambda j: j != F.col("at")), lambda j: F.xxhash64("shard", F.lit("others"), F.least(j, "at"), F.greatest(j, "at")))
-    return rows.select("node", F.explode(F.when(F.col("in_main"), with_main).otherwise(F.concat(with_main, with_others))).alias("shard"))
+    n_blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    at = F.pmod(F.xxhash64("node", F.lit(1)), n_blocks(F.try_element_at("count", F.struct("class", "main")))).cast("int")
+    own = rows.withColumn("own", F.struct("class", "main", at.alias("at")))
 
+    def others(step: int, main: bool) -> Column:
+        n = F.try_element_at("count", F.struct((F.col("class") + step).alias("class"), F.lit(main).alias("main")))
+        every = F.transform(F.sequence(F.lit(0), n_blocks(n) - 1), lambda i: F.struct((F.col("class") + step).alias("class"), F.lit(main).alias("main"), i.alias("at")))
+        return F.when(n.isNotNull(), every).otherwise(F.filter(every, lambda x: F.lit(False)))
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, shard_size: int = 1024) -> DataFrame:
-    """docs with ``_kept``: true for one row of each group of texts linked by Jaccard similarity ``threshold`` of ``size``-word shingles, the first by id.
+    meets = F.concat(*[F.when(F.lit(main) & F.col("main"), F.filter(F.array("own"), lambda x: F.lit(False))).otherwise(others(step, main)) for step in range(-widest, widest + 1) for main in (False, True)])
+    return own.select("base", "node", F.explode(F.transform(meets, lambda b: F.xxhash64("base", F.least(b, "own"), F.greatest(b, "own")))).alias("shard"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, shard_size: int = 1024, kept_col: str = "_kept") -> DataFrame:
+    """docs with ``kept_col``: true for one row of each group of texts linked by Jaccard similarity ``threshold`` of ``size``-word shingles, the first by id.
 
     64 SimHash bits at a similarity of 0.8 are too far apart for blocks of
     equal bits, and no radius bounds them for sets.  So here shards are keyed
     by minimum shingle hashes: two such texts share one of ``keys`` with
-    probability 1 - (1 - threshold) ** keys, 0.99994 by default.  The shingle
-    sets of every pair of a shard are compared.  Texts of equal words are one
-    node from the start.
-
-    A shard of more than ``shard_size`` nodes is split into cells of two
-    adjacent classes of set size, which no similar pair is further apart.  What
-    is then still larger is dealt to blocks, and the groups found so far are
-    labelled.  A shard of one label is settled; in the others every two nodes
-    of different labels meet in a pair of blocks.
+    probability 1 - (1 - threshold) ** keys, 0.99994 by default; no other step
+    loses a link.  Texts of equal words are one node from the start.
+
+    First each node is compared in the largest of its shards only, in blocks
+    of about ``shard_size`` nodes; what a large shard's blocks leave apart is
+    dealt to new blocks, each with the node that found most links, so that a
+    group held together by one original is joined here.  Then the shards that
+    still hold nodes of different groups are settled: small ones by comparing
+    all their nodes, large ones by pairs of blocks.  Blocks are of one class
+    of set size, and only adjacent classes can be alike; nodes of a shard's
+    largest group need not meet one another.  So a group of copies costs
+    nothing more however large it is; a large shard of texts of one size that
+    are not alike costs the square of its size.
+
+    Nulls: a null text counts as empty, empty texts are a group; null ids come
+    first.  Of rows alike in id and text one is kept.  Ties of an id are
+    broken by a hash of the text.  The columns may have any names.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(text)})
-    base = given.select("_id", "_h", text.alias("text"))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    i, h, i2, h2, first_, row_ = fresh(docs, "i", "h", "i2", "h2", "first", "row")
+    given = docs.select("*", quoted(id_col).alias(i), F.xxhash64(text).alias(h))
+    base = docs.select(quoted(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,52 +383,66 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                 sets = [np.unique(value[a:z]).view(np.int32) for a, z in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "set"])
 
+    def none(df: DataFrame) -> bool:
+        return not df.limit(1).count()
+
     signed = base.mapInArrow(released(sign), f"_id {kind}, _h long, node long, keys array<long>")
     nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("keys").alias("keys")))
     scratch.release()
 
-    def counted(rows: DataFrame, own: str = "true") -> DataFrame:
-        """rows(shard, node) of shards that hold two nodes or more and one with ``own``, with their count."""
-        rows = scratch.cut(rows)
-        # written, so that the join's sides are plain and a hot shard's rows can be split among tasks
-        counts = scratch.cut(rows.groupBy("shard").agg(F.count("*").alias("count"), F.max(F.expr(own)).alias("any")).where("count > 1 and any").select("shard", "count"))
-        return scratch.cut(rows.join(counts.hint("shuffle_hash"), "shard"))
-
-    def none(df: DataFrame) -> bool:
-        return not df.limit(1).count()
-
-    rows = counted(nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("shard")))
-    wanted = rows.select("node").distinct().join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
+    # every node's keys stay in these joins, alone or not: a shard's size does not change their rows
+    flat = scratch.cut(nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("base")))
+    shared = scratch.cut(flat.groupBy("base").agg(F.count("*").alias("n")).where("n > 1"))
+    top = flat.join(shared.hint("shuffle_hash"), "base", "left").groupBy("node").agg(F.max(F.struct("n", "base")).alias("top")).where("top.n is not null")
+    top = scratch.cut(top.select("node", "top.n", "top.base"))
+    wanted = top.join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
     sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(released(gather), "node long, set array<int>")
     members = scratch.cut(sets.dropDuplicates(["node"]))
     scratch.release()
 
-    def solve(rows: DataFrame, block) -> DataFrame:
-        dealt = rows.select("node", block.alias("shard")).join(members, "node")
-        return scratch.cut(shard_groups(dealt.repartition("shard").sortWithinPartitions("shard", "node"), threshold))
+    def solve(rows: DataFrame) -> DataFrame:
+        """rows(shard, base, node) -> (base, u, v)"""
+        return scratch.cut(shard_groups(rows.join(members, "node").repartition("shard").sortWithinPartitions("shard", "node"), threshold))
+
+    def dealt(seed: int) -> Column:
+        return F.xxhash64("base", F.lit(seed), F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / shard_size)))
 
-    small, large = rows.where(F.col("count") <= shard_size), rows.where(F.col("count") > shard_size)
-    edges = solve(small, F.col("shard"))
+    edges = found = solve(top.select(F.when(F.col("n") <= shard_size, F.col("base")).otherwise(dealt(2)).alias("shard"), "base", "node"))
+    large = top.where(F.col("n") > shard_size)
     if not none(large):
-        # a little wider than the threshold, so that rounding parts no pair by two classes
-        sized = members.select("node", F.floor(F.log(F.size("set")) / (1.001 * -log(threshold))).alias("class"))
-        cells = large.select("shard", "node").join(sized, "node").select("shard", "node", "class", F.explode(F.array("class", F.col("class") + 1)).alias("cell"))
-        rows = counted(cells.select("node", F.xxhash64("shard", "cell").alias("shard"), (F.col("class") == F.col("cell")).alias("own")), "own")
-        edges = edges.union(solve(rows, F.when(F.col("count") <= shard_size, F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("count") / shard_size))))))
-        over = rows.where(F.col("count") > shard_size).select("shard", "node")
-        if not none(over):
-            label = components(edges.distinct(), scratch)
-            marked = scratch.cut(over.join(label, "node", "left").select("shard", "node", F.coalesce("label", "node").alias("label")))
-            tally = marked.groupBy("shard", "label").count()
-            apart = scratch.cut(tally.groupBy("shard").agg(F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("n")).where("main.count < n"))
-            edges = edges.union(solve(block_pairs(marked.join(apart.hint("shuffle_hash"), "shard"), shard_size // 2), F.col("shard")))
-    label = components(edges.distinct(), scratch)
+        size_of = found.join(large.select("base").distinct(), "base", "left_semi").groupBy("base", "v").count()
+        pivots = scratch.cut(size_of.groupBy("base").agg(F.max(F.struct("count", "v")).alias("top")).select("base", F.col("top.v").alias("pivot")))
+        near = found.select(F.col("u").alias("node"), "base", "v")
+        apart = large.join(pivots.hint("shuffle_hash"), "base").join(near, ["node", "base"], "left").where("node <> pivot and (v is null or v <> pivot)")
+        blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / shard_size) - 1), lambda b: F.xxhash64("base", F.lit(3), b))
+        every = large.groupBy("base").agg(F.max("n").alias("n")).join(pivots, "base").select(F.explode(blocks).alias("shard"), "base", F.col("pivot").alias("node"))
+        found = solve(apart.select(dealt(3).alias("shard"), "base", "node").union(every))
+        edges = edges.union(found)
+
+    label = scratch.cut(members.select("node").join(components(edges.select("u", "v").distinct(), scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    # a small shard that was the largest of all its nodes is settled
+    settled = top.where(F.col("n") <= shard_size).groupBy("base", "n").count().where("count = n").select("base", F.lit(True).alias("settled"))
+    marked = scratch.cut(flat.join(label, "node", "left").join(settled.hint("shuffle_hash"), "base", "left").where("label is not null and settled is null").select("base", "node", "label"))
+    tally = marked.groupBy("base", "label").count()
+    open_ = scratch.cut(tally.groupBy("base").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("base", "n", "main.label"))
+    rest = scratch.cut(marked.join(open_.withColumnRenamed("label", "main").hint("shuffle_hash"), "base", "left").where("n is not null").select("base", "node", "n", (F.col("label") == F.col("main")).alias("main")))
+    if not none(rest):
+        found = solve(rest.where(F.col("n") <= shard_size).select(F.col("base").alias("shard"), "base", "node"))
+        large = rest.where(F.col("n") > shard_size)
+        if not none(large):
+            # a little wider than the threshold, so that rounding parts no pair by two classes
+            sized = members.select("node", F.floor(F.log(F.size("set")) / (1.001 * -log(threshold))).cast("int").alias("class"))
+            large = scratch.cut(large.join(sized, "node").select("base", "node", "class", "main"))
+            per = large.groupBy("base", "class", "main").count()
+            counts = per.groupBy("base").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("class", "main").alias("key"), "count"))).alias("count"))
+            found = found.union(solve(block_pairs(large.join(counts.hint("shuffle_hash"), "base"), shard_size // 2, 1)))
+        label = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found.select("u", "v")).distinct(), scratch)
     group = nodes.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
-    kept = scratch.cut(group.select(F.col("first._id").alias("_i"), F.col("first._h").alias("_j"), F.lit(True).alias("_first")))
-    out = given.join(kept.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_j")), "left")
+    kept = scratch.cut(group.select(F.col("first._id").alias(i2), F.col("first._h").alias(h2), F.lit(True).alias(first_)))
+    out = given.join(kept.hint("shuffle_hash"), F.col(i).eqNullSafe(F.col(i2)) & (F.col(h) == F.col(h2)), "left")
     # rows alike in id and text: one of them
-    out = out.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0))))
-    return out.withColumn("_kept", F.coalesce("_first", F.lit(False)) & (F.col("_row") == 1)).select(*docs.columns, "_kept")
+    out = out.withColumn(row_, F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0))))
+    return out.select(*map(quoted, docs.columns), (F.coalesce(F.col(first_), F.lit(False)) & (F.col(row_) == 1)).alias(kept_col))
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
