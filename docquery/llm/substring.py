@@ -6,8 +6,9 @@ holds one whole block of that document's non-overlapping blocks of
 that has each; every rolling block-sized stretch of words probes the index,
 and a hit in a smaller document anchors a repeat.  Hits are extended to
 maximal exact repeats: of every window around a hit, and around each block
-that was hit, a 96-bit hash is compared over all documents, so a repeat is
-found wherever its first copy stands and not only in the anchor's document.
+that was hit, 96 bits of an XXH3 digest of its words are compared over all
+documents, so a repeat is found wherever its first copy stands and not only in
+the anchor's document.  Polynomial hashes only select what is hit or digested.
 
 Before the index is built, probes that nothing can answer are dropped and
 copies are collapsed: windows are cut into runs by the minimum of their
@@ -17,8 +18,11 @@ id are repeats as a whole, and only members with the smallest id are indexed
 and probe for the windows that it shares with other classes.  This spares the
 shuffle of all rolling stretches of all texts, and drops no repeat.
 
-Documents without an id come after all others.  Nulls: a null text has no
-words.  Rows of one id do not repeat one another.
+Documents without an id come after all others and do not repeat one another,
+and neither do rows of one id (ties; 2**63 - 1 ties with no id).  Ids are
+integers, or else ordered as strings.  A null or empty text has no words, a repeated row its own row of the
+result; an empty table gives an empty one.  A very long text is a slice of its
+own in a task.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docquery.llm.common import Scratch, table
-from docquery.llm.kernels import SPACE, byte_table, covered, prefix_hash, range_hash, released, rolling_hash, row_of, runs_of, slices, window_runs, words
+from docquery.llm.common import Scratch, quoted, table
+from docquery.llm.kernels import SPACE, byte_table, covered, digests, joined, prefix_hash, range_hash, released, rolling_hash, row_of, runs_of, slices, window_runs, words
 
 GRAM = 5
 RUN = 256
-LAST = (1 << 63) - 1
+#: Stand for a missing id: nothing comes after them.
+LAST, LAST_TEXT = (1 << 63) - 1, "\U0010ffff" * 4
 
 
 def hashed(data: np.ndarray, off: np.ndarray, seed: int = 31) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,9 +51,15 @@ def hashed(data: np.ndarray, off: np.ndarray, seed: int = 31) -> tuple[np.ndarra
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, text): id is LAST where there is none; h tells rows of one id apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.hash(text).alias("h"), text.alias("text"))
+    """(id, h, text): id is LAST where there is none; h tells rows of one id apart, and is odd where there is no id."""
+    key, text = quoted(id_col), F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    given = F.coalesce(key.cast("long"), F.lit(LAST)) if whole else F.coalesce(key.cast("string"), F.lit(LAST_TEXT))
+    return docs.select(given.alias("id"), F.shiftleft(F.hash(text), 1).bitwiseOR(key.isNull().cast("int")).alias("h"), text.alias("text"))
+
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
@@ -63,25 +75,21 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                 of = row[lo]
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(times.astype(np.int32)), part.column(0).take(pa.array(of)), pa.array((lo - rows[of]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "times", "id", "lo", "n"])
 
-    return docs.select("id", "text").mapInArrow(released(run), "m long, times int, id long, lo int, n int")
-
-
-def word_prefixes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
-    """Two independent prefix hashes over a text's words."""
-    return [prefix_hash(range_hash(prefix_hash(byte_table(x)[data]), s, e)) for x in (32, 33)]
+    return docs.select("id", "text").mapInArrow(released(run), f"m long, times int, id {id_type(docs)}, lo int, n int")
 
 
 def short(w: np.ndarray) -> np.ndarray:
-    return (w >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (w >> 32).astype(np.int32)
 
 
 def classes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """found(m, id, lo, n) -> (m, w1, w2, id, h, lo, n) with the 96-bit hash of each run's words."""
+    """found(m, id, lo, n) -> (m, w1, w2, id, h, lo, n) with 96 bits of a digest of each run's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in slices(batch, "text"):
                 s, e, rows = words(data, off, SPACE)
+                raw, s, e = joined(data, s, e)
                 want = part.column(3)
                 flat, size = want.flatten(), np.diff(want.offsets.to_numpy())
                 of = np.repeat(np.arange(part.num_rows), size)
@@ -89,11 +97,11 @@ def classes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 # runs of other rows of the same id may lie outside this text
                 own = np.flatnonzero(lo + n + length - 1 <= np.diff(rows)[of])
                 start = (rows[of] + lo)[own]
-                w = [range_hash(x, start, start + n[own] + length - 1) for x in word_prefixes(data, s, e)]
+                w = digests(raw, s[start], e[start + n[own] + length - 2])
                 at, take = pa.array(own), pa.array(of[own])
-                yield pa.RecordBatch.from_arrays([flat.field("m").take(at), pa.array(w[0].view(np.int64)), pa.array(short(w[1])), part.column(0).take(take), part.column(1).take(take), flat.field("lo").take(at), flat.field("n").take(at)], names=["m", "w1", "w2", "id", "h", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([flat.field("m").take(at), pa.array(w[:, 0]), pa.array(short(w[:, 1])), part.column(0).take(take), part.column(1).take(take), flat.field("lo").take(at), flat.field("n").take(at)], names=["m", "w1", "w2", "id", "h", "lo", "n"])
 
-    return with_lists(docs, found, F.struct("m", "lo", "n")).mapInArrow(released(run), "m long, w1 long, w2 int, id long, h int, lo int, n int")
+    return with_lists(docs, found, F.struct("m", "lo", "n")).mapInArrow(released(run), f"m long, w1 long, w2 int, id {id_type(docs)}, h int, lo int, n int")
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, item: Column) -> DataFrame:
@@ -121,7 +129,7 @@ def stretches(docs: DataFrame, regions: DataFrame, length: int, block: int) -> D
                 ok = np.flatnonzero(inside[:k] & inside[len(s) - k :] & (row[:k] == row[len(s) - k :])) if k else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(roll[ok].view(np.int64)), part.column(0).take(pa.array(row[ok])), pa.array((ok - rows[row[ok]]).astype(np.int32))], names=["b", "id", "q"])
 
-    return with_lists(docs, regions, F.struct("lo", "n")).mapInArrow(released(run), "b long, id long, q int")
+    return with_lists(docs, regions, F.struct("lo", "n")).mapInArrow(released(run), f"b long, id {id_type(docs)}, q int")
 
 
 def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> DataFrame:
@@ -130,7 +138,9 @@ def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in slices(batch, "text"):
-                s, e, rows, row, _ = hashed(data, off)
+                s, e, rows = words(data, off, SPACE)
+                row = row_of(rows, len(s))
+                raw, s, e = joined(data, s, e)
                 want = part.column(3)
                 of = np.repeat(np.arange(part.num_rows), np.diff(want.offsets.to_numpy()))
                 q = want.flatten().to_numpy().astype(np.int64)
@@ -139,12 +149,12 @@ def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> Dat
                 ok = last >= first
                 near = covered(len(s), (rows[of] + first)[ok], (last - first + 1)[ok]) if ok.any() else np.zeros(len(s), dtype=bool)
                 p = np.flatnonzero(near)
-                w = [range_hash(x, p, p + length) for x in word_prefixes(data, s, e)]
+                w = digests(raw, s[p], e[p + length - 1])
                 at = row[p]
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(w[0].view(np.int64)), pa.array(short(w[1])), part.column(0).take(take), part.column(1).take(take), pa.array((p - rows[at]).astype(np.int32))], names=["w1", "w2", "id", "h", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(short(w[:, 1])), part.column(0).take(take), part.column(1).take(take), pa.array((p - rows[at]).astype(np.int32))], names=["w1", "w2", "id", "h", "p"])
 
-    return with_lists(docs, anchors, F.col("q")).mapInArrow(released(run), "w1 long, w2 int, id long, h int, p int")
+    return with_lists(docs, anchors, F.col("q")).mapInArrow(released(run), f"w1 long, w2 int, id {id_type(docs)}, h int, p int")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 13) -> DataFrame:
@@ -205,9 +215,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                     spans.append(np.stack(runs_of(m), axis=1).ravel().tolist() if removed[-1] else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.int32()))], names=["id", "n_words", "n_removed", "kept", "spans"])
 
-    both = rows.join(gone, ["id", "h"], "left").select("id", "text", "list")
-    out = both.mapInArrow(released(cut), "id long, n_words long, n_removed long, kept string, spans array<int>")
-    return out.withColumn("id", F.nullif(F.col("id"), F.lit(LAST)))
+    both = rows.join(gone, ["id", "h"], "left").select(F.when(F.col("h") % 2 == 0, F.col("id")).alias("id"), "text", "list")
+    return both.mapInArrow(released(cut), f"id {id_type(rows)}, n_words long, n_removed long, kept string, spans array<int>")
 
 
 def op10_fixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

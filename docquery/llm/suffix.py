@@ -13,15 +13,21 @@ repeat group with all its occurrences; other intervals are shifts of one.  The
 spans of the groups are what is removed.
 
 A bucket of more than ``bucket`` classes (a passage that very many different
-texts share) is not collected: its windows are counted by a 128-bit hash with
-a partial aggregate instead, which finds the same windows.
+texts share) is not collected: its windows are counted by four prime lanes of
+31 bits with a partial aggregate instead, which finds the same windows.
+
+Classes are equal by an XXH3 digest of the carrier's bytes, and prefixes that
+are sorted by a hash are compared byte by byte afterwards.
 
 ``keep`` "none" marks every byte of every repeated window; "first" leaves the
 first occurrence by (id, hash of the text, position).
 
 Nulls: a null text is empty; null ids come first in the order.  Repeated rows
 (equal id and text) are occurrences of their own for "none" and one document
-for "first".
+for "first".  Ids may be of any type that has an order; ties are broken by a
+hash of the text, then the position.  An empty table gives an empty one; a
+very long text is a slice of its own in a task.  Columns may have any names;
+one that is named like a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -33,9 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docquery.llm.common import Scratch, table
-from docquery.llm.kernels import byte_table, covered, mix, prefix_hash, range_hash, released, rolling_hash, runs_of, slices, window_runs
+from docquery.llm.common import Scratch, fresh, quoted, table
+from docquery.llm.kernels import byte_table, covered, digests, mix, prefix_hash, range_hash, released, rolling_hash, runs_of, slices, sound_hash, window_runs
 
 GRAM = 64
 CARRIER = 256
@@ -44,12 +51,16 @@ SUFFIXES = 100_000
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, text): h tells rows of one id apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    return docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
 
 
-def carriers(docs: DataFrame, length: int) -> DataFrame:
-    """(m, ch, times, id, h, lo, n): the carriers of all texts, without their bytes."""
+def carriers(docs: DataFrame, length: int, classed: bool = True) -> DataFrame:
+    """(m, ch, times, id, h, lo, n): the carriers of all texts, without their bytes; ch is zero if not ``classed``."""
     gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,14 +70,14 @@ def carriers(docs: DataFrame, length: int) -> DataFrame:
                 valid = np.arange(len(data)) + length <= off[1:][row]
                 v = byte_table(1)[data]
                 m, lo, n, times = window_runs(rolling_hash(v, gram), row, valid, length - gram + 1, CARRIER)
-                ch = range_hash(prefix_hash(byte_table(2)[data]), lo, lo + n + length - 1)
+                ch = digests(data.tobytes(), lo, lo + n + length - 1)[:, 0] if classed else np.zeros(len(lo), dtype=np.int64)
                 of = row[lo]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(times.astype(np.int32)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array((lo - off[of]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [pa.array(m.view(np.int64)), pa.array(ch), pa.array(times.astype(np.int32)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array((lo - off[of]).astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["m", "ch", "times", "id", "h", "lo", "n"],
                 )
 
-    return docs.select("id", "h", "text").mapInArrow(released(run), "m long, ch long, times int, id long, h long, lo int, n int")
+    return docs.select("id", "h", "text").mapInArrow(released(run), f"m long, ch long, times int, id {id_type(docs)}, h long, lo int, n int")
 
 
 def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -112,7 +123,9 @@ class SuffixArray:
 
     It holds the suffixes that share their first ``least`` bytes with another
     of their bucket; these are ranked by a 128-bit hash of that prefix and,
-    inside such an interval, by the bytes that follow.
+    inside such an interval, by the bytes that follow.  Neighbours of equal
+    hashes are compared byte by byte; were two to differ, all prefixes would
+    be ranked by their bytes.
     """
 
     def __init__(self, texts: list[bytes], n: np.ndarray, bucket: np.ndarray, least: int) -> None:
@@ -140,6 +153,10 @@ class SuffixArray:
         keys[:, 16:] = np.lib.stride_tricks.sliding_window_view(padded, width + 1)[start + least]
         keys[:, 16:][np.arange(width + 1) >= have[:, None]] = 0
         order = np.argsort(keys.view(f"S{width + 17}").ravel(), kind="stable")
+        if len(start) and not self._prefixes_agree(start[order], keys[order, :16], least):
+            prefix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, least)[start]).view(f"S{least}").ravel()
+            keys[:, 8:16] = np.unique(prefix, return_inverse=True)[1].astype(">u8").view(np.uint8).reshape(-1, 8)
+            order = np.argsort(keys.view(f"S{width + 17}").ravel(), kind="stable")
         self.carrier, self.offset, self.start, have = carrier[order], offset[order], start[order], have[order]
         keys = keys[order]
         differ = keys[1:] != keys[:-1]
@@ -149,6 +166,13 @@ class SuffixArray:
         self.left = np.where(self.offset > 0, data[np.maximum(self.start - 1, 0)].astype(np.int16), 256)
 
 
+    def _prefixes_agree(self, start: np.ndarray, ranks: np.ndarray, least: int, at_once: int = 1 << 14) -> bool:
+        """Whether neighbours of one rank have the same first ``least`` bytes."""
+        view = np.lib.stride_tricks.sliding_window_view(self.data, least)
+        same = np.flatnonzero((ranks[1:] == ranks[:-1]).all(1))
+        return all((view[start[x]] == view[start[x + 1]]).all() for x in np.split(same, range(at_once, len(same), at_once)))
+
+
 def _lists(sa: SuffixArray, cover: np.ndarray, n_carriers: int) -> pa.Array:
     """For each carrier the union of [offset, offset + cover), as start, end, start, end."""
     own = np.flatnonzero(cover)
@@ -249,11 +273,11 @@ def wide_bucket_repeats(parts: DataFrame, length: int) -> DataFrame:
                 of = np.repeat(np.arange(len(size)), k)
                 o = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
                 s = (np.cumsum(size) - size)[of] + o
-                w = [range_hash(prefix_hash(byte_table(x)[data]), s, s + length).view(np.int64) for x in (21, 22)]
+                w = [sound_hash(data, s, s + length, x).view(np.int64) for x in ((21, 22), (23, 24))]
                 at = pa.array(of + i)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("m", "ch", "id", "h", "lo")), pa.array(o.astype(np.int32)), pa.array(w[0]), pa.array(w[1])], names=["m", "ch", "id", "h", "lo", "o", "w1", "w2"])
 
-    rows = parts.mapInArrow(released(cut), "m long, ch long, id long, h long, lo int, o int, w1 long, w2 long")
+    rows = parts.mapInArrow(released(cut), f"m long, ch long, id {id_type(parts)}, h long, lo int, o int, w1 long, w2 long")
     same = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "lo", "ch", "o")).alias("first")).where("c > 1")
     hit = rows.join(same, ["w1", "w2"]).select("m", "ch", "o", (F.col("ch").eqNullSafe(F.col("first.ch")) & (F.col("o") == F.col("first.o"))).alias("is_first"))
     spans = lambda c: F.flatten(F.transform(F.array_sort(c), lambda o: F.array(o, o + length)))
@@ -263,7 +287,7 @@ def wide_bucket_repeats(parts: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, scratch: Scratch, length: int = 200, bucket: int = 2048, groups: bool = False) -> tuple[DataFrame, DataFrame]:
     """docs(id, h, text) -> candidate carriers (m, ch, id, h, lo, n), and classes (m, ch, c, first, every, later, groups) of the repeated ones."""
     rows = carriers(docs, length)
-    known = rows.groupBy("m").agg(F.sum("times").alias("t")).where("t > 1").select("m")
+    known = carriers(docs, length, False).groupBy("m").agg(F.sum("times").alias("t")).where("t > 1").select("m")
     known = scratch.cut(known)
     scratch.release()
     cand = scratch.cut(rows.join(known.hint("shuffle_hash"), "m", "left_semi"))
@@ -288,7 +312,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 200, bucket: int =
 
     lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("m", "ch", "n", "classes", "lo")).alias("want"))
     one = docs.join(lists.withColumnsRenamed({"id": "id_", "h": "h_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
-    parts = scratch.cut(one.select("id", "h", "text", "want").mapInArrow(released(fetch), "m long, ch long, n int, classes long, id long, h long, lo int, text binary").dropDuplicates(["m", "ch"]))
+    parts = scratch.cut(one.select("id", "h", "text", "want").mapInArrow(released(fetch), f"m long, ch long, n int, classes long, id {id_type(docs)}, h long, lo int, text binary").dropDuplicates(["m", "ch"]))
     scratch.release()
     small = parts.where(F.col("classes") <= bucket).repartition("m").sortWithinPartitions("m", F.col("id").asc_nulls_first(), "h", "lo")
     solved = bucket_repeats(small.select("m", "ch", "n", "text"), length, groups)
@@ -312,8 +336,8 @@ def document_spans(cand: DataFrame, classes: DataFrame, length: int, keep: str)
     return rows.groupBy("id", "h").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: str = "none", bucket: int = 2048, as_text: bool = False) -> DataFrame:
-    """docs with _kept, every row's remaining bytes (``as_text``: as a string, without the rest of characters that a span cuts), and _spans, the maximal removed runs of bytes as start, end, start, end."""
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: str = "none", bucket: int = 2048, as_text: bool = False, kept_col: str = "_kept", spans_col: str = "_spans") -> DataFrame:
+    """docs with ``kept_col``, every row's remaining bytes (``as_text``: as a string, without the rest of characters that a span cuts), and ``spans_col``, the maximal removed runs of bytes as start, end, start, end."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep is none or first, not {keep!r}")
     rows = keyed(docs, id_col, text_col)
@@ -336,13 +360,15 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 a, z = runs_of(gone)
                 kept.append(np.frombuffer(t, dtype=np.uint8)[~gone].tobytes())
                 runs.append(np.stack([a, z], axis=1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], names=[*b.schema.names[:-2], "_kept", "_spans"])
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.withColumns({"_i": F.col(id_col).cast("long"), "_h": F.xxhash64(text), "_text": text})
-    both = given.join(spans.withColumnsRenamed({"id": "_id", "h": "_h2", "spans": "_spans"}), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _kept {'string' if as_text else 'binary'}, _spans array<int>"
-    return both.select(*docs.columns, "_text", "_spans").mapInArrow(released(cut), schema)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], names=[*b.schema.names[:-2], kept_col, spans_col])
+
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    i, h, i2, h2, text_, spans_ = fresh(docs, "i", "h", "i2", "h2", "whole", "spans")
+    given = docs.select("*", quoted(id_col).alias(i), F.xxhash64(text).alias(h), text.alias(text_))
+    both = given.join(spans.select(F.col("id").alias(i2), F.col("h").alias(h2), F.col("spans").alias(spans_)), F.col(i).eqNullSafe(F.col(i2)) & (F.col(h) == F.col(h2)), "left")
+    carried = [f for f in docs.schema.fields if f.name not in (kept_col, spans_col)]
+    schema = T.StructType([*carried, T.StructField(kept_col, T.StringType() if as_text else T.BinaryType()), T.StructField(spans_col, T.ArrayType(T.IntegerType()))])
+    return both.select(*[quoted(f.name) for f in carried], text_, spans_).mapInArrow(released(cut), schema)
 
 
 def repeat_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

@@ -61,5 +61,35 @@ def test_other_lengths(spark):
         assert run(spark, rows, n) == brute(rows, n)
 
 
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomials_take_for_equal(spark, n):
+    a, b = thue_morse(n)
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{b} {tail} x"), (4, f"{a} {b} " * 12), (5, f"{b} {a} " * 12)]
+    assert run(spark, rows) == brute(rows, 13)
+
+
+def test_ids_of_other_types_and_the_last_one(spark):
+    last = (1 << 63) - 1
+    rows = [(3, "x " * 20), (last, "x " * 20), (None, "y " * 20), (last, "z " * 14)]
+    assert run(spark, rows) == brute(rows, 13)
+    named = spark.createDataFrame([("a", "x " * 20), ("b", "x " * 20), (None, "x " * 13), ("", None)], "doc_id string, text string")
+    assert sorted(((r.id or "", r.n_removed) for r in remove_repeats(named, Scratch(spark, "t")).collect())) == [("", 0), ("", 13), ("a", 0), ("b", 20)]
+
+
+def test_a_text_of_several_slices(spark):
+    rnd = random.Random(9)
+    w = [f"{rnd.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:60_000], "new", *w[60_000:]])), (3, " ".join(w[90_000:90_040]))]
+    assert run(spark, rows) == brute(rows, 13)
+
+
 def test_empty(spark):
     assert run(spark, []) == []

@@ -1,5 +1,7 @@
+import os
 import random
 
+import numpy as np
 import pytest
 
 from docquery.llm.common import Scratch
@@ -78,6 +80,48 @@ def test_repeated_rows_and_empty(spark):
     assert run(spark, [], 80) == []
 
 
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_that_polynomials_take_for_equal(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, a), (2, b), (3, "x" + a[:700]), (4, "y" * 1500 + b)]
+    for bucket in (1, 2048):
+        assert run(spark, rows, 1024, bucket=bucket) == brute(rows, 1024)
+
+
+def test_prefixes_of_one_hash_are_ranked_by_their_bytes(monkeypatch):
+    """As if the hashes of all prefixes were equal."""
+    from docquery.llm import suffix
+
+    texts = [b"abcdefgh" * 4, b"zbcdefgh" * 4, b"abcdefgh" * 2 + b"abcdxfgh" * 2]
+    n = np.array([len(t) - 9 for t in texts])
+    plain = suffix.SuffixArray(texts, n, np.zeros(3, dtype=np.int64), 10)
+    monkeypatch.setattr(suffix, "range_hash", lambda p, s, e: np.zeros(len(s), dtype=np.uint64))
+    other = suffix.SuffixArray(texts, n, np.zeros(3, dtype=np.int64), 10)
+    joined = b"".join(texts)
+    for sa in (plain, other):
+        for i, d in enumerate(sa.lcp):
+            a, b = (joined[sa.start[k] : sa.base[sa.carrier[k]] + len(texts[sa.carrier[k]])] for k in (i, i + 1))
+            same = len(os.path.commonprefix([a, b]))
+            assert d == (same if same >= 10 else 0)
+    repeated = lambda sa: {(int(sa.carrier[k]), int(sa.offset[k])) for i, d in enumerate(sa.lcp) if d for k in (i, i + 1)}
+    assert repeated(plain) == repeated(other)
+
+
+def test_ids_of_other_types_and_long_texts(spark):
+    rnd = random.Random(3)
+    body = "".join(rnd.choice("abcdefgh ") for _ in range(700_000))
+    df = spark.createDataFrame([("a", body, 1), ("b", "new " + body[300_000:300_500] + " end", 2), (None, None, 3), ("c", "", 4)], "doc_id string, text string, _kept int")
+    got = {r.doc_id: r for r in remove_repeats(df, Scratch(spark, "t")).collect()}
+    assert got["a"]._spans == [300_000, 300_500] and bytes(got["b"]._kept) == b"new  end" and bytes(got[None]._kept) == b"" and got["c"]._spans == []
+
+
 def test_groups_have_all_occurrences(spark):
     passage = "the quick brown fox jumps over the lazy dog and runs off into the wood " * 1
     rows = [(i, f"{i * 7919}" * 9 + passage * (1 if i else 2) + f"{i * 104729}" * 9) for i in range(5)]
