@@ -1,15 +1,24 @@
 """Operator 3: licence scans by canonical digest, DataFrame functions only.
 
-A text is made canonical line by line: A-Z lower-cased, copyright lines
+A text is made canonical line by line: A-Z lower-cased, copyright statements
 dropped, punctuation and white space turned into single spaces, equivalent
-spellings replaced.  The digest of the whole canonical text, and of each of
-its lines, is joined by hash to the digests of known licences and notices;
+spellings replaced; a first line that is only the title of a licence does not
+count for the text as a whole.  The digest of the whole canonical text, and of each
+of its lines, is joined by hash to the digests of known licences and notices;
 these are a fixed table, so their side is broadcast.  Nothing else is
 compared: a text matches when all of it is a known licence, however wrapped,
 and a notice when all of a line is one.
 
+A copyright statement begins a line with the word, the sign or (c), and has a
+sign, (c), a year or a place for one ("copyright holders be liable" is licence
+text).  It ends with its line, or before the first words of a known licence.
+Of licences that are known by their digest alone, those with statements inside
+(the GNU ones) match where these begin lines, as published.
+
 Nulls: a null or empty text, or one without letters or digits, has no digest
-and no match; a null id is kept.  Repeated rows each get their row.
+and no match; a null id is kept.  Repeated rows, and rows of one id (ties),
+each get their row.  An empty table gives an empty one, a long text is
+canonical as a whole.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -73,33 +82,75 @@ You should have received a copy of the GNU General Public License along with thi
     "MIT-line": "Released under the MIT License.",
 }
 
+#: Titles that stand above licence texts, canonical.
+TITLES = (
+    "mit license", "the mit license", "the mit license mit", "mit license mit", "isc license", "the isc license", "isc license isc", "bsd license", "new bsd license", "bsd 2 clause license", "the bsd 2 clause license", "bsd 3 clause license", "the bsd 3 clause license",
+    "simplified bsd license", "zlib license", "the zlib license", "bsd zero clause license", "zero clause bsd license", "the unlicense", "license", "licence",
+)
+#: How known licences begin after a copyright statement on one line.
+OPENINGS = ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "licensed under the", "this program is free software", "boost software license")
+
 #: What separates words: ASCII other than letters and digits, and typographic quotes, dashes and signs.
-BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F ©«»‐-―‘-‟•…]+"
-COPYRIGHT = "^[^a-z0-9(©]*(copyright( |\\(|:|,|$)|\\(c\\)|©|all rights reserved)"
+BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F ©«»‐-―‘-‟•…]+"
+COPYRIGHT = "^[^a-z0-9(©<\\[]*(copyright[ .:,]*(\\(c\\)|©|[<\\[]|(19|20)[0-9][0-9])|(copyright|copr) .*(19|20)[0-9][0-9]|\\(c\\) *(copyright|(19|20)[0-9][0-9])|©|all rights reserved[ .]*$)"
+STATED = COPYRIGHT + ".*?[ .](" + "|".join(OPENINGS) + ")"
 
 
 def canonical_line(line: Column) -> Column:
-    """One line, already lower-cased, as words with single spaces; empty for a copyright line."""
-    out = F.concat(F.lit(" "), F.replace(F.regexp_replace(line, BREAKS, " "), F.lit(" "), F.lit("  ")), F.lit(" "))
+    """One line, already lower-cased, as words with single spaces; empty for a copyright statement."""
+    rest = F.regexp_replace(line, STATED, f"${re.compile(STATED).groups}")
+    out = F.concat(F.lit(" "), F.replace(F.regexp_replace(rest, BREAKS, " "), F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in sorted(SPELLINGS.items()):
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(line.rlike(COPYRIGHT), "").otherwise(F.trim(F.regexp_replace(out, " +", " ")))
+    return F.when(rest.rlike(COPYRIGHT), "").otherwise(F.trim(F.regexp_replace(out, " +", " ")))
 
 
-def canonical(text: str) -> str:
+def canonical_lines(text: str) -> list[str]:
     """The same for a text on the driver, for the table of known digests."""
     lines = []
     for line in re.sub("[A-Z]", lambda m: m[0].lower(), text).split("\n"):
+        line = re.sub(STATED, lambda m: m[m.re.groups], line)
         if re.search(COPYRIGHT, line):
             continue
         words = re.sub(BREAKS, " ", line).split()
         lines.append(" ".join(SPELLINGS.get(w, w) for w in words))
-    return " ".join(x for x in lines if x)
+    return [x for x in lines if x]
+
+
+def canonical(text: str) -> str:
+    """A text as a whole."""
+    lines = canonical_lines(text)
+    return " ".join(lines[1:] if lines and lines[0] in TITLES else lines)
+
+
+#: Digests of the canonical texts of longer licences (SHA-256; "terms" is the text up to the end of its terms and conditions).
+DIGESTS: dict[str, str] = {
+    "Apache-2.0": "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2",
+    "Apache-2.0 (terms)": "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-1.0 (terms)": "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-2.0 (terms)": "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "GPL-3.0 (terms)": "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.0 (terms)": "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-2.1 (terms)": "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "af9120248ffd9feada62cb62d18d7104970bad23f2d265fd77eb0cd3c265583b",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+}
 
 
 def known_digests(texts: dict[str, str] | None = None) -> dict[str, str]:
-    """digest -> licence."""
-    return {hashlib.sha256(canonical(t).encode()).hexdigest(): name for name, t in sorted((texts or TEXTS).items(), reverse=True)}
+    """digest -> licence: of given texts, or of ours and the longer licences."""
+    out = {} if texts else {d: name for name, d in DIGESTS.items()}
+    return out | {hashlib.sha256(canonical(t).encode()).hexdigest(): name for name, t in sorted((texts or TEXTS).items(), reverse=True)}
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
@@ -108,7 +159,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = spark.createDataFrame(sorted(known_digests(texts).items()), "unit string, name string")
     lines = F.filter(F.transform(F.split(lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "\n"), canonical_line), lambda x: x != "")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), lines.alias("lines"))
-    rows = rows.select("rid", "id", F.when(F.size("lines") > 0, F.sha2(F.array_join("lines", " "), 256)).alias("digest"), "lines")
+    body = F.when(F.get("lines", 0).isin(*TITLES), F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines"))
+    rows = rows.select("rid", "id", F.when(F.size(body) > 0, F.sha2(F.array_join(body, " "), 256)).alias("digest"), "lines")
     units = rows.select("rid", "id", "digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("unit"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("unit"))))).alias("u"))
     found = units.select("rid", "id", "digest", "u.whole", "u.unit").join(F.broadcast(known), "unit", "left")
     return (
@@ -123,16 +175,17 @@ def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    spelled = "' ' || replace(regexp_replace(l, '" + BREAKS + "', ' ', 'g'), ' ', '  ') || ' '"
+    spelled = "' ' || replace(regexp_replace(r, '" + BREAKS + "', ' ', 'g'), ' ', '  ') || ' '"
     for a, b in sorted(SPELLINGS.items()):
         spelled = f"replace({spelled}, ' {a} ', ' {b} ')"
     known = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests().items()))
     return f"""
 WITH known(unit, name) AS (VALUES {known}),
 a AS (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-b AS (SELECT doc_id, i, CASE WHEN regexp_matches(l, '{COPYRIGHT}') THEN '' ELSE trim(regexp_replace({spelled}, ' +', ' ', 'g')) END AS c FROM a),
+r AS (SELECT doc_id, i, regexp_replace(l, '{STATED}', '\\{re.compile(STATED).groups}') AS r FROM a),
+b AS (SELECT doc_id, i, CASE WHEN regexp_matches(r, '{COPYRIGHT}') THEN '' ELSE trim(regexp_replace({spelled}, ' +', ' ', 'g')) END AS c FROM r),
 c AS (SELECT doc_id, i, c FROM b WHERE c <> ''),
-whole AS (SELECT doc_id, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM c GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM c WHERE NOT (i = (SELECT min(f.i) FROM c f WHERE f.doc_id = c.doc_id) AND c.c IN ({", ".join(f"'{x}'" for x in TITLES)})) GROUP BY doc_id),
 line AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(*) AS n_notices FROM c JOIN known ON known.unit = sha256(c) GROUP BY doc_id)
 SELECT d.doc_id, w.digest, k.name AS license, coalesce(l.notices, '') AS notices, CAST(coalesce(l.n_notices, 0) AS BIGINT) AS n_notices
 FROM documents d LEFT JOIN whole w USING (doc_id) LEFT JOIN known k ON k.unit = w.digest LEFT JOIN line l USING (doc_id)"""

@@ -1,6 +1,10 @@
 import hashlib
+import pathlib
+import textwrap
 
-from docquery.llm.licenses import TEXTS, canonical, known_digests, license_scan
+import pytest
+
+from docquery.llm.licenses import DIGESTS, TEXTS, canonical, known_digests, license_scan
 
 
 def run(spark, rows, **kw):
@@ -28,8 +32,40 @@ def test_variants_of_known_texts(spark):
         assert r[1] == (hashlib.sha256(canonical(text).encode()).hexdigest() if text and canonical(text) else None)
 
 
+@pytest.mark.parametrize("width", [12, 40, 72, 80, 200])
+def test_known_texts_in_any_wrap_with_titles_and_statements(spark, width):
+    rows, names = [], []
+    for name, text in TEXTS.items():
+        if name.endswith("-line"):
+            continue
+        body = "\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n"))
+        for k, made in enumerate((body, f"MIT License\n\nCopyright (c) 2020 A. B. Holder\nAll rights reserved.\n\n{body}", f"# © 1999-2003 Someone\n{body}\n", f"Copyright <YEAR> <HOLDER>\n{body}")):
+            rows.append((4 * len(names) + k, made))
+        names.append(name)
+    got = run(spark, rows)
+    assert sorted((r[0], r[2]) for r in got) == [(4 * i + k, n) for i, n in enumerate(names) for k in range(4)]
+
+
+def test_a_statement_and_a_licence_on_one_line(spark):
+    rows = [(i, "Copyright (c) 2020 A. B. Holder. " + " ".join(TEXTS[n].split())) for i, n in enumerate(("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib"))]
+    rows += [(9, "Copyright holders be liable for 3 things"), (10, "copyright notice and this permission notice")]
+    got = run(spark, rows)
+    assert {r[0]: r[2] for r in got} == {0: "MIT", 1: "ISC", 2: "BSD-2-Clause", 3: "BSD-3-Clause", 4: "Zlib", 9: None, 10: None}
+    assert all(r[1] for r in got)
+
+
+@pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_longer_licences_by_their_digest(spark, file, name):
+    path = pathlib.Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no published text here")
+    text = path.read_text(encoding="utf-8")
+    got = run(spark, [(1, text), (2, text.upper()), (3, text + "x"), (4, text.replace("\n", " \r\n"))])
+    assert [r[2] for r in sorted(got)] == [name, name, None, name]
+
+
 def test_every_known_text_has_its_own_digest(spark):
-    assert len(known_digests()) == len(TEXTS)
+    assert len(known_digests()) == len(TEXTS) + len(DIGESTS) and len(set(DIGESTS.values())) == len(DIGESTS)
     got = run(spark, [(i, t) for i, t in enumerate(TEXTS.values())])
     assert sorted(r[2] for r in got) == sorted(TEXTS)
 
