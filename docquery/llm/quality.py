@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docquery.llm.common import bound_batches, table
+from docquery.llm.common import bound_batches, fresh, quoted, table
 from docquery.llm.kernels import SPACE, byte_table, prefix_hash, range_hash, released, row_of, slices, words
 
 #: Labellers: statistic, bad at or beyond, good at or before (compared downwards where bad < good).
@@ -192,11 +193,11 @@ def _votes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(released(run), "pattern long")
 
 
-def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """(id, score, posterior, pattern, keep) for every row, or the rows themselves with _score and _keep."""
+def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep_columns: bool = False, names: tuple[str, str, str, str] = ("score", "posterior", "pattern", "keep")) -> DataFrame:
+    """(id, score, posterior, pattern, keep) for every row, or the rows themselves with these columns; ``names`` renames them, and an input column that is named so is replaced."""
     spark = docs.sparkSession
     bound_batches(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
     counted = sorted((r.pattern, r["count"]) for r in _votes(base).groupBy("pattern").count().collect())
     seen = [x for x in counted if x[0] >= 0]
     patterns, counts = np.array([x[0] for x in seen], dtype=np.int64), np.array([x[1] for x in seen], dtype=float)
@@ -229,7 +230,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         known, value = posterior.value
         w = weights.value
         for b in batches:
-            for part, data, off in slices(b, "_text"):
+            for part, data, off in slices(b, text_):
                 stats, n, extra = statistics(data, off)
                 p = votes(stats, n)
                 r, at, x = features(data, off, extra)
@@ -237,14 +238,13 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 s = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 label = np.where(p >= 0, value[np.minimum(np.searchsorted(known, p), len(known) - 1)] if len(known) else 0.0, 0.0)
                 cols = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array(label), pa.array(p), pa.array(s >= threshold)], names=[*part.schema.names[:-1], "_score", "_posterior", "_pattern", "_keep"])
-
-    first = docs if keep_columns else docs.select(F.col(id_col).alias("id"))
-    names = [f.name for f in first.schema.fields]
-    given = docs.select("*" if keep_columns else F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{n}` {first.schema[n].dataType.simpleString()}" for n in names) + ", _score double, _posterior double, _pattern long, _keep boolean"
-    out = given.mapInArrow(released(score), schema)
-    return out if keep_columns else out.withColumnsRenamed({"_score": "score", "_posterior": "posterior", "_pattern": "pattern", "_keep": "keep"})
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array(label), pa.array(p), pa.array(s >= threshold)], names=[*part.schema.names[:-1], *names])
+
+    (text_,) = fresh(docs, "whole")
+    carried = [(quoted(f.name), f) for f in docs.schema.fields if f.name not in names] if keep_columns else [(quoted(id_col).alias("id"), T.StructField("id", docs.schema[id_col].dataType))]
+    given = docs.select(*[c for c, _ in carried], quoted(text_col).cast("string").alias(text_))
+    made = [T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.DoubleType(), T.LongType(), T.BooleanType()), strict=True)]
+    return given.mapInArrow(released(score), T.StructType([*[f for _, f in carried], *made]))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
