@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +13,8 @@ from pyspark.sql import functions as F
 
 from docquery.workers import let_import
 
-#: Seconds the cleaner, which works in the background, gets to delete files.
-CLEANING_S = 1.0
+#: With it, the shuffle files of a query go when it ends, and not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 8 << 20
 
 
@@ -46,8 +44,10 @@ class Scratch:
     """Tables of one operator run, written to the shared folder.
 
     A written table ends the lineage: losing an executor later costs a reread
-    and not the work before it.  ``drop`` removes a table that nothing reads
-    any more; all of them go when the program ends.
+    and not the work before it.  Once it is written, Spark deletes the shuffle
+    files of the work before.  ``drop`` removes a table that nothing reads any
+    more, ``prune`` all that an operator wrote but what its result reads; the
+    rest goes when a ``with`` block ends, or the program.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -57,6 +57,12 @@ class Scratch:
         self.count = 0
         atexit.register(self._remove, self.root)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._remove(self.root)
+
     def _remove(self, path: str) -> None:
         """Delete a path of the shared folder, if the session still runs."""
         if self.spark.sparkContext._jsc is None:
@@ -68,7 +74,15 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        had = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if had is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, had)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._docquery_path = path
         return out
@@ -78,11 +92,12 @@ class Scratch:
         if path:
             self._remove(path)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of jobs that have ended."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(CLEANING_S)
+    def prune(self, since: int, *kept: DataFrame) -> None:
+        """Remove the tables written after there were ``since``, but those given."""
+        paths = {getattr(df, "_docquery_path", None) for df in kept}
+        for k in range(since + 1, self.count + 1):
+            if f"{self.root}/{k}" not in paths:
+                self._remove(f"{self.root}/{k}")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -214,12 +214,14 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, shard_size: int =
 
 def simhash_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, shard_size: int = 4096) -> DataFrame:
     """(id, fp, component): every row's fingerprint and the smallest id reachable over links within ``radius`` bits."""
+    since = scratch.count
     fps = scratch.cut(fingerprints(docs, id_col, text_col, size))
     nodes = scratch.cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
     label = components(links(nodes, scratch, radius, shard_size), scratch)
     member = scratch.cut(nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     group = member.groupBy("label").agg(F.min("least").alias("component"))
     classes = scratch.cut(member.join(group, "label").select("fp", "component"))
+    scratch.prune(since, fps, classes)
     return fps.join(classes, "fp")
 
 
@@ -362,6 +364,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     first.  Of rows alike in id and text one is kept.  Ties of an id are
     broken by a hash of the text.  The columns may have any names.
     """
+    since = scratch.count
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     i, h, i2, h2, first_, row_ = fresh(docs, "i", "h", "i2", "h2", "first", "row")
     given = docs.select("*", quoted(id_col).alias(i), F.xxhash64(text).alias(h))
@@ -388,7 +391,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     signed = base.mapInArrow(released(sign), f"_id {kind}, _h long, node long, keys array<long>")
     nodes = scratch.cut(signed.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("first"), F.first("keys").alias("keys")))
-    scratch.release()
 
     # every node's keys stay in these joins, alone or not: a shard's size does not change their rows
     flat = scratch.cut(nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("base")))
@@ -398,7 +400,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     wanted = top.join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
     sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(released(gather), "node long, set array<int>")
     members = scratch.cut(sets.dropDuplicates(["node"]))
-    scratch.release()
 
     def solve(rows: DataFrame) -> DataFrame:
         """rows(shard, base, node) -> (base, u, v)"""
@@ -439,6 +440,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         label = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found.select("u", "v")).distinct(), scratch)
     group = nodes.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     kept = scratch.cut(group.select(F.col("first._id").alias(i2), F.col("first._h").alias(h2), F.lit(True).alias(first_)))
+    scratch.prune(since, kept)
     out = given.join(kept.hint("shuffle_hash"), F.col(i).eqNullSafe(F.col(i2)) & (F.col(h) == F.col(h2)), "left")
     # rows alike in id and text: one of them
     out = out.withColumn(row_, F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0))))

@@ -159,35 +159,29 @@ def windows(docs: DataFrame, anchors: DataFrame, length: int, block: int) -> Dat
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 13) -> DataFrame:
     """docs(id, h, text) -> (id, h, p, n): runs of n windows that start in a document with a smaller id, too."""
-    block = (length + 1) // 2
+    block, since = (length + 1) // 2, scratch.count
     rows = runs(docs, length)
     known = scratch.cut(rows.groupBy("m").agg(F.sum("times").alias("t")).where("t > 1").select("m"))
-    scratch.release()
     found = scratch.cut(rows.select("m", "id", "lo", "n").join(known.hint("shuffle_hash"), "m", "left_semi"))
-    scratch.release()
     found = scratch.cut(classes(docs, found, length))
-    scratch.release()
     key = ["w1", "w2"]
     first = scratch.cut(found.groupBy(*key).agg(F.min("id").alias("a"), F.first("m").alias("m")))
     several = first.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
-    found = scratch.cut(found.join(first.select(*key, "a").hint("shuffle_hash"), key).select("m", "id", "h", F.col("lo").alias("p"), "n", "a"))
-    whole = found.where("a < id").select("id", "h", "p", "n")
-    regions = scratch.cut(found.where("a = id").join(several, "m", "left_semi").select("id", F.col("p").alias("lo"), "n"))
-    scratch.release()
+    copies = scratch.cut(found.join(first.select(*key, "a").hint("shuffle_hash"), key).select("m", "id", "h", F.col("lo").alias("p"), "n", "a"))
+    whole = copies.where("a < id").select("id", "h", "p", "n")
+    regions = scratch.cut(copies.where("a = id").join(several, "m", "left_semi").select("id", F.col("p").alias("lo"), "n"))
 
     probes = scratch.cut(stretches(docs, regions, length, block))
-    scratch.release()
     index = probes.groupBy("b").agg(F.min(F.when(F.col("q") % block == 0, F.col("id"))).alias("ref"), F.max("id").alias("top")).where("ref < top").select("b", "ref")
     index = scratch.cut(index)
     hit = (F.col("ref") < F.col("id")) | (F.col("q") % block == 0)
     anchors = scratch.cut(probes.join(index.hint("shuffle_hash"), "b").where(hit).select("id", "q"))
     scratch.drop(probes)
-    scratch.release()
 
     found = scratch.cut(windows(docs, anchors, length, block))
     least = scratch.cut(found.groupBy(*key).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select(*key, "a"))
     part = scratch.cut(found.join(least.hint("shuffle_hash"), key).where("a < id").select("id", "h", "p", F.lit(1).alias("n")))
-    scratch.release()
+    scratch.prune(since, copies, part)
     return whole.union(part)
 
 

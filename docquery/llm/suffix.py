@@ -289,9 +289,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 200, bucket: int =
     rows = carriers(docs, length)
     known = carriers(docs, length, False).groupBy("m").agg(F.sum("times").alias("t")).where("t > 1").select("m")
     known = scratch.cut(known)
-    scratch.release()
     cand = scratch.cut(rows.join(known.hint("shuffle_hash"), "m", "left_semi"))
-    scratch.release()
     classes = cand.groupBy("m", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "lo")).alias("first"), F.first("n").alias("n"), F.max("times").alias("times"))
     classes = scratch.cut(classes)
     per = scratch.cut(classes.groupBy("m").agg(F.count(F.lit(1)).alias("classes"), F.max("times").alias("most")).where("classes > 1 or most > 1").select("m", "classes"))
@@ -313,7 +311,6 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 200, bucket: int =
     lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("m", "ch", "n", "classes", "lo")).alias("want"))
     one = docs.join(lists.withColumnsRenamed({"id": "id_", "h": "h_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
     parts = scratch.cut(one.select("id", "h", "text", "want").mapInArrow(released(fetch), f"m long, ch long, n int, classes long, id {id_type(docs)}, h long, lo int, text binary").dropDuplicates(["m", "ch"]))
-    scratch.release()
     small = parts.where(F.col("classes") <= bucket).repartition("m").sortWithinPartitions("m", F.col("id").asc_nulls_first(), "h", "lo")
     solved = bucket_repeats(small.select("m", "ch", "n", "text"), length, groups)
     wide = parts.where(F.col("classes") > bucket)
@@ -340,10 +337,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     """docs with ``kept_col``, every row's remaining bytes (``as_text``: as a string, without the rest of characters that a span cuts), and ``spans_col``, the maximal removed runs of bytes as start, end, start, end."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep is none or first, not {keep!r}")
+    since = scratch.count
     rows = keyed(docs, id_col, text_col)
     cand, classes = repeats(rows, scratch, length, bucket)
     spans = scratch.cut(document_spans(cand, classes, length, keep))
-    scratch.release()
+    scratch.prune(since, spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
