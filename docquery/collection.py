@@ -8,17 +8,25 @@ delta and those base rows that the delta neither replaces nor removes.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from pathlib import Path
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquery.errors import CollectionError, DuplicateId, InvalidDocument, LoadError, SchemaError
 from docquery.ids import DbConfig, IdManager, IdType
 from docquery.sources.schema_files import CompactSchema, check_config, parse_compact, read_json
-from docquery.types import INT, NULL, STRING, FieldInfo, SchemaDict, decode, encode, kind_of, observed, struct_field
+from docquery.types import ARRAY, INT, NULL, OBJECT, STRING, FieldInfo, SchemaDict, canonical, decode, encode, kind_of, observed, struct_field
+
+if TYPE_CHECKING:
+    from docquery.database import Database
+
+#: Values in one predicate over a registered table.
+KEYS_AT_ONCE = 1000
 
 
 def reference_column_name(name: str, id_key: str) -> str:
@@ -68,12 +76,53 @@ class Collection:
 
     # reading
 
+    def _with_keys(self, keys: Iterable[str]) -> Column:
+        """The base's rows that have one of the ids, compared in the column's own type so that the scan is pruned."""
+        name = self.config.id_key
+        column, kind = F.col(f"`{name}`"), self.base.schema[name].dataType
+        if isinstance(kind, T.LongType):
+            return column.isin([int(k) for k in keys if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", k) and -(1 << 63) <= int(k) < 1 << 63])
+        return (column if isinstance(kind, T.StringType) else column.cast("string")).isin(list(keys))
+
     def _base_row(self, key: str) -> dict | None:
         if self.base is None or key in self.gone:
             return None
-        rows = self.base.where(F.col(f"`{self.config.id_key}`").cast("string") == key).limit(1).collect()
+        rows = self.base.where(self._with_keys([key])).limit(1).collect()
         return self._to_doc(rows[0], self.base.schema) if rows else None
 
+    def _known(self, keys: list[str]) -> set[str]:
+        """Those of the ids that exist, by one look at the base for each KEYS_AT_ONCE of them."""
+        out = {k for k in keys if k in self.docs}
+        rest = [k for k in dict.fromkeys(keys) if k not in out and k not in self.gone]
+        if self.base is not None:
+            for at in range(0, len(rest), KEYS_AT_ONCE):
+                rows = self.base.where(self._with_keys(rest[at : at + KEYS_AT_ONCE])).select(F.col(f"`{self.config.id_key}`").cast("string")).collect()
+                out |= {r[0] for r in rows}
+        return out
+
+    def find(self, column: str, values: Iterable[object]) -> list[dict]:
+        """Documents whose column has one of the values: equal as JSON, so 1 is not 1.0; a document without the column never matches."""
+        values = list(values)
+        wanted = {canonical(v) for v in values}
+        out = [dict(d) for d in self.docs.values() if column in d and canonical(d[column]) in wanted]
+        base = self._kept_base() if wanted else None
+        if base is not None and column in base.columns:
+            kind, c = base.schema[column].dataType, F.col(f"`{column}`")
+            own = {T.LongType: int, T.DoubleType: float, T.StringType: str, T.BooleanType: bool}.get(type(kind))
+            keys = [None] if own is None else [v for v in dict.fromkeys(values) if type(v) is own] if kind_of(base.schema[column]) not in (OBJECT, ARRAY) else [None]
+            parts = [base.where(c.isin(keys[at : at + KEYS_AT_ONCE])) for at in range(0, len(keys), KEYS_AT_ONCE)] if keys != [None] else [base]
+            if None in values and keys != [None]:
+                parts.append(base.where(c.isNull()))
+            found = [self._to_doc(r, base.schema) for p in parts for r in p.collect()]
+            out += [d for d in found if canonical(d[column]) in wanted]
+        return out
+
+    def expand_row(self, row: dict, chain: str, db: Database) -> dict:
+        return db.expand_row(self.name, row, chain)
+
+    def expand_list(self, rows: list[dict], chain: str, db: Database) -> list[dict]:
+        return db.expand_list(self.name, rows, chain)
+
     @staticmethod
     def _to_doc(row: T.Row, schema: T.StructType) -> dict:
         return {f.name: decode(row[f.name], kind_of(f)) for f in schema.fields}
@@ -92,8 +141,12 @@ class Collection:
         hidden = sorted(self.gone | set(self.docs))
         if not hidden:
             return self.base
-        keys = self.spark.createDataFrame([(k,) for k in hidden], "hidden_key string")
-        return self.base.join(keys, self.base[self.config.id_key].cast("string") == keys["hidden_key"], "left_anti")
+        own = self.base[self.config.id_key]
+        if isinstance(self.base.schema[self.config.id_key].dataType, T.LongType):
+            keys = self.spark.createDataFrame([(int(k),) for k in hidden if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", k) and -(1 << 63) <= int(k) < 1 << 63], "hidden_key long")
+        else:
+            keys, own = self.spark.createDataFrame([(k,) for k in hidden], "hidden_key string"), own.cast("string")
+        return self.base.join(keys, own == keys["hidden_key"], "left_anti")
 
     def count(self) -> int:
         base = self._kept_base()
@@ -169,13 +222,15 @@ class Collection:
         if not isinstance(docs, list):
             raise InvalidDocument(f"{self.name}: a batch is an array")
         out = []
+        known = self._known([str(d.get(self.config.id_key)) for d in docs if isinstance(d, dict)]) if self.config.id_type is IdType.NONE else set()
         for d in docs:
             d = self._check(d)
             key = d.get(self.config.id_key)
             if self.config.id_type is IdType.NONE:
                 key = self._given_id(d)
-                if self.exists(key):
+                if str(key) in known:
                     raise DuplicateId(f"{self.name}: {key!r} exists")
+                known.add(str(key))
             elif key is None:
                 key = d[self.config.id_key] = self.ids.next()
             else:

@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquery.collection import Collection
 from docquery.errors import LoadError, ParseError, ReferenceError_, SchemaError, UnknownCollection
@@ -132,8 +133,9 @@ class Database:
         self._infer_all()
         return len(value)
 
-    def load_schemas_from_file(self, path: str | Path) -> int:
-        return self.load_schemas_from_json(read_json(path))
+    def load_schemas_from_file(self, path: str | Path) -> str:
+        n = self.load_schemas_from_json(read_json(path))
+        return f"loaded {n} schemas from {path}"
 
     # queries
 
@@ -155,6 +157,11 @@ class Database:
         kinds = [(f.name, kind_of(f)) for f in df.schema.fields]
         return [{name: decode(v, kind) for (name, kind), v in zip(kinds, row, strict=True)} for row in df.collect()]
 
+    def query_json(self, sql: str, args: object = MISSING) -> DataFrame:
+        """The result as one column of JSON objects, their keys in alphabetical order; absent values are null."""
+        df = self.query(sql, args)
+        return df.select(F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}).alias("json"))
+
     # references
 
     def create_reference(self, collection: str, column: str, ref_collection: str, ref_column: str) -> ReferenceColumn:
@@ -203,7 +210,7 @@ class Database:
         return self.expand_list(collection, [row], chain)[0]
 
     def expand_list(self, collection: str, rows: list[dict], chain: str) -> list[dict]:
-        return expand_documents(rows, collection.lower(), [x.lower() for x in chain_of(chain)], lambda n: self._need(n).get_all(), self._link)
+        return expand_documents(rows, collection.lower(), [x.lower() for x in chain_of(chain)], lambda n, column, values: self._need(n).find(column, values), self._link)
 
     def expand_df(self, collection: str, chain: str, df: DataFrame | None = None) -> DataFrame:
         """All rows of a collection (or of df) with arrays of the documents that the chain leads to."""

@@ -50,7 +50,7 @@ class FunctionArgMismatch(AnalyzerError):
 
 
 class NonConstInConstFold(AnalyzerError):
-    pass
+    """Kept for callers that name it: constants are folded by Catalyst here, so nothing raises it."""
 
 
 class InvalidLikePattern(AnalyzerError):

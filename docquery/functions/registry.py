@@ -24,10 +24,11 @@ class Scalar:
 
 @dataclass
 class Aggregate:
-    """infer: kind of the result from the kind of the argument; build: Column from (argument, distinct)."""
+    """infer: kind of the result from the kind of the argument; build: Column from (argument, distinct); argument: what is built from, given its kind."""
 
     infer: Callable[[JsonPrimitive], JsonPrimitive]
     build: Callable[[Column, bool], Column]
+    argument: Callable[[Column, JsonPrimitive, bool], Column] = lambda x, kind, distinct: x
 
 
 def _one_string(name: str, apply: Callable[[Column], Column], fold: Callable[[str], object], kind: JsonPrimitive) -> Scalar:
@@ -68,6 +69,11 @@ def _number(name: str, kind: JsonPrimitive) -> JsonPrimitive:
     return kind
 
 
+def _exact(x: Column, kind: JsonPrimitive, distinct: bool) -> Column:
+    """Distinct integers as decimals: no sum of them overflows, and no two become one."""
+    return x.cast("decimal(20,0)") if distinct and kind is INT else x
+
+
 def _ordered(name: str) -> Callable[[JsonPrimitive], JsonPrimitive]:
     def infer(kind: JsonPrimitive) -> JsonPrimitive:
         if kind in (OBJECT, ARRAY):
@@ -91,7 +97,7 @@ class FunctionRegistry:
         self.aggregates: dict[str, Aggregate] = {
             "count": Aggregate(lambda k: INT, lambda x, d: F.count_distinct(x) if d else F.count(x)),
             "sum": Aggregate(lambda k: _number("sum", k), lambda x, d: F.sum_distinct(x) if d else F.sum(x)),
-            "avg": Aggregate(lambda k: _number("avg", k) and FLOAT, lambda x, d: F.call_function("avg", x) if not d else F.sum_distinct(x).cast("double") / F.count_distinct(x)),
+            "avg": Aggregate(lambda k: _number("avg", k) and FLOAT, lambda x, d: F.call_function("avg", x) if not d else F.sum_distinct(x).cast("double") / F.count_distinct(x), _exact),
             "min": Aggregate(_ordered("min"), lambda x, d: F.min(x)),
             "max": Aggregate(_ordered("max"), lambda x, d: F.max(x)),
         }

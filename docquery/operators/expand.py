@@ -27,6 +27,11 @@ def json_key(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')) if df.schema[column].dataType.simpleString() == "string" else text, F.lit("null"))
 
 
+def _alike(a: DataFrame, x: str, b: DataFrame, y: str) -> bool:
+    """Whether two columns are of one primitive and one plain type, so that equal JSON is equal values."""
+    return kind_of(a.schema[x]) is kind_of(b.schema[y]) and a.schema[x].dataType == b.schema[y].dataType and a.schema[x].dataType.simpleString() in ("bigint", "string", "boolean")
+
+
 def expand_df(df: DataFrame, collection: str, chain: list[str], lookup: Callable[[str], DataFrame], link: Callable[[str, str], tuple[str, str]]) -> DataFrame:
     """df with an array of matching documents for each hop, nested along the chain.
 
@@ -39,21 +44,23 @@ def expand_df(df: DataFrame, collection: str, chain: list[str], lookup: Callable
     if own not in df.columns:
         return df
     inner = expand_df(lookup(target), target, chain[1:], lookup, link)
-    groups = inner.groupBy(json_key(inner, other).alias("_k")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in inner.columns])).alias("_docs"))
-    out = df.withColumn("_own", json_key(df, own)).join(groups, F.col("_own") == F.col("_k"), "left")
+    mine, theirs, match = json_key(df, own), json_key(inner, other), F.col("_own") == F.col("_k")
+    if _alike(df, own, inner, other):  # the values themselves: buckets and key types are of use
+        mine, theirs, match = F.col(f"`{own}`"), F.col(f"`{other}`"), F.col("_own").eqNullSafe(F.col("_k"))
+    groups = inner.groupBy(theirs.alias("_k")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in inner.columns])).alias("_docs"))
+    out = df.withColumn("_own", mine).join(groups, match, "left")
     empty = F.array().cast(groups.schema["_docs"].dataType)
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c != target], F.coalesce("_docs", empty).alias(target))
 
 
-def expand_documents(docs: list[dict], collection: str, chain: list[str], lookup: Callable[[str], list[dict]], link: Callable[[str, str], tuple[str, str]]) -> list[dict]:
-    """The same for documents that the driver holds: one pass over each target."""
+def expand_documents(docs: list[dict], collection: str, chain: list[str], lookup: Callable[[str, str, list], list[dict]], link: Callable[[str, str], tuple[str, str]]) -> list[dict]:
+    """The same for documents that the driver holds; lookup(target, column, values) has the target's documents with one of the values."""
     if not chain:
         return [dict(d) for d in docs]
     target = chain[0]
     own, other = link(collection, target)
     index: dict[str, list[dict]] = {}
-    wanted = {canonical(d[own]) for d in docs if own in d}
-    found = [d for d in lookup(target) if other in d and canonical(d[other]) in wanted]
+    found = lookup(target, other, [d[own] for d in docs if own in d])
     for raw, doc in zip(found, expand_documents(found, target, chain[1:], lookup, link), strict=True):
         index.setdefault(canonical(raw[other]), []).append(doc)
     return [{**d, target: index.get(canonical(d[own]), [])} if own in d else dict(d) for d in docs]

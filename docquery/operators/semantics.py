@@ -11,7 +11,6 @@ import operator
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,21 +130,25 @@ def like_regex(pattern: str) -> str:
     return "".join(out)
 
 
+#: Characters that a regular expression reads as more than themselves.
+SPECIAL = tuple("\\^$.|?*+()[]{}-&~#/")
+
+
 def _quoted(c: str) -> str:
-    return "\\" + c if c in "\\^$.|?*+()[]{}-&~#/" else c
+    return "\\" + c if c in SPECIAL else c
 
 
-def _like_rows(text: pd.Series, pattern: pd.Series) -> pd.Series:
-    known: dict[str, re.Pattern] = {}
+def like_regex_of(pattern: Column) -> Column:
+    """The same for a column of patterns, a character at a time, inside the JVM."""
+    done = lambda a, text, escaped: F.struct((F.concat(a["text"], text)).alias("text"), F.lit(escaped).alias("escaped"))
 
-    def one(t: str | None, p: str | None) -> bool | None:
-        if t is None or p is None:
-            return None
-        if p not in known:
-            known[p] = re.compile(like_regex(p) + r"\Z", re.IGNORECASE)
-        return known[p].match(t) is not None
+    def step(a: Column, c: Column) -> Column:
+        literal_ = F.when(c.isin(*SPECIAL), F.concat(F.lit("\\"), c)).otherwise(c)
+        special = F.when(c == "%", ".*").when(c == "_", ".").otherwise(literal_)
+        return F.when(a["escaped"], done(a, literal_, False)).when(c == "\\", done(a, F.lit(""), True)).otherwise(done(a, special, False))
 
-    return pd.Series([one(t, p) for t, p in zip(text, pattern, strict=True)], dtype=object)
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("escaped"))
+    return F.aggregate(F.regexp_extract_all(pattern, F.lit("(?s)."), F.lit(0)), start, step, lambda a: F.concat(a["text"], F.when(a["escaped"], "\\\\").otherwise("")))
 
 
 def like(x: Typed, pattern: Typed, negated: bool) -> Column:
@@ -160,7 +163,7 @@ def like(x: Typed, pattern: Typed, negated: bool) -> Column:
             return truth(hit != negated)
         out = text.rlike(r"\A(?iud:" + like_regex(pattern.value) + r")\z")
     else:
-        out = F.pandas_udf(_like_rows, "boolean")(text, part(pattern, "s") if pattern.kind is MIXED else pattern.col)
+        out = F.rlike(text, F.concat(F.lit(r"\A(?iud:"), like_regex_of(part(pattern, "s") if pattern.kind is MIXED else pattern.col), F.lit(r")\z")))
     return ~out if negated else out
 
 

@@ -291,7 +291,7 @@ class Compiler:
                 arg = self.scalar(call.args[0], scope)
                 kind = rule.infer(arg.kind)
                 col = arg.col.cast("double") if arg.kind is JsonPrimitive.NULL and kind is not INT else arg.col
-                out = rule.build(col, call.distinct)
+                out = rule.build(rule.argument(col, arg.kind, call.distinct), call.distinct)
                 kind = FLOAT if kind is JsonPrimitive.NULL else kind
             columns.append(out.alias(f"a{k}"))
             grouped[text] = (f"a{k}", kind)

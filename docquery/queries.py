@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docquery.database import Database
 from docquery.ids import DbConfig
 from docquery.plans.compiler import MISSING
+from docquery.queries_documents import DOCUMENTS
 
 #: Tables and their id columns.
 TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
@@ -138,6 +139,11 @@ SPECS: dict[str, Spec] = {
     "null_comparison_unknown": Spec("SELECT n_nationkey FROM nation WHERE n_nationkey = NULL OR n_nationkey = 4", "SELECT n_nationkey FROM nation WHERE n_nationkey = 4"),
     "literal_epsilon": Spec("SELECT n_nationkey FROM nation WHERE 1.0 = 1.0000000001 AND n_regionkey = 0", "SELECT n_nationkey FROM nation WHERE n_regionkey = 0"),
     "timestamp_as_text": Spec("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate LIKE '1995-%'", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders WHERE year(o_orderdate) = 1995"),
+    "alias_on_one_column_wildcard": Spec("SELECT t.* AS only FROM (SELECT n_name FROM nation) t", "SELECT n_name AS only FROM nation"),
+    "alias_on_wildcard_dropped": Spec("SELECT r.* AS many FROM region r", "SELECT * FROM region"),
+    "join_empty_side": same("SELECT c.c_custkey AS k, e.o AS o, e.p AS p FROM customer c LEFT JOIN (SELECT o_orderkey AS o, o_custkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey < 0) e ON e.k = c.c_custkey"),
+    "join_empty_full": same("SELECT e.o AS o, r.r_name AS r FROM (SELECT o_orderkey AS o FROM orders WHERE o_orderkey < 0) e FULL JOIN region r ON e.o = r.r_regionkey"),
+    "join_full_theta": same("SELECT n.n_nationkey AS n, r.r_regionkey AS r FROM nation n FULL JOIN region r ON n.n_regionkey > r.r_regionkey AND n.n_nationkey > 20"),
     "report_nation_revenue": Spec("SELECT n.n_name AS nation, SUM(l.l_extendedprice) AS revenue, COUNT(DISTINCT c.c_custkey) AS customers FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE l.l_returnflag = 'R' GROUP BY n.n_name HAVING COUNT(*) > 10 ORDER BY nation", "SELECT n.n_name AS nation, ROUND(SUM(l.l_extendedprice), 2) AS revenue, COUNT(DISTINCT c.c_custkey) AS customers FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE l.l_returnflag = 'R' GROUP BY n.n_name HAVING COUNT(*) > 10", rounded=["revenue"]),
     "report_event_types": Spec("SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, AVG(value) AS v FROM events GROUP BY event_type ORDER BY n DESC", "SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, ROUND(AVG(value), 4) AS v FROM events GROUP BY event_type", rounded=["v"]),
 }
@@ -217,6 +223,9 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 }
 
 
+OTHER |= DOCUMENTS
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _query(name) for name in SPECS} | {name: f for name, (f, _) in OTHER.items()}
 

@@ -151,3 +151,39 @@ def test_registered_table_with_changes(spark):
     assert [(r["k"], r["name"]) for r in db.query_rows("SELECT k, name FROM n ORDER BY k")] == [(0, "n0"), (1, "n1"), (2, "two"), (4, "n4"), (9, "nine")]
     assert c.count() == 5 and c.get(3) is None and c.get(4) == {"k": 4, "name": "n4"}
     assert json.loads(json.dumps(c.get_all()))[0]["name"] == "two"
+
+
+def test_lookups_over_a_registered_table_are_pruned(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS k", "id % 7 AS g", "concat('n', id) AS name").write.parquet(f"{tmp_path}/t")
+    c = Database(spark).register_parquet("t", f"{tmp_path}/t", DbConfig.none("k"))
+    assert c.get("7") == {"k": 7, "g": 0, "name": "n7"} and c.get("07") is None and c.get(2000) is None and c.get(7.0) is None
+    assert "PushedFilters: [In(k" in c.base.where(c._with_keys(["1", "2"]))._jdf.queryExecution().toString()
+    with pytest.raises(DuplicateId):
+        c.add_batch([{"k": 5000 + i} for i in range(1500)] + [{"k": 5003}])
+    assert c.count() == 3500 and len(c.find("g", [3, 4.0, "5"])) == 286 and c.find("nope", [1]) == [] and c.find("k", [5003]) == [{"k": 5003}]
+
+
+def test_like_patterns_of_a_column(spark):
+    db = Database(spark, DbConfig.none("id"))
+    cases = [("a%b", "A\\%b", True), ("axb", "a\\%b", False), ("x", "\\x", True), ("a\\", "a\\", True), ("line\nfeed", "line%", False), ("😀z", "_Z", True), ("(a)", "(%)", True), ("É", "é", True), (None, "%", None), ("x", None, None)]
+    db.create("c").add_batch([{"id": i, "t": t, "p": p} for i, (t, p, _) in enumerate(cases)])
+    assert [r["id"] for r in db.query_rows("SELECT id FROM c WHERE t LIKE p ORDER BY id")] == [i for i, c in enumerate(cases) if c[2]]
+    assert [r["id"] for r in db.query_rows("SELECT id FROM c WHERE t NOT LIKE p ORDER BY id")] == [i for i, c in enumerate(cases) if c[2] is False]
+
+
+def test_json_rows(spark):
+    db = Database(spark, DbConfig.none("id"))
+    db.create("c").add_batch([{"id": 1, "b": None, "a": "x"}])
+    assert [r.json for r in db.query_json("SELECT id, b, a AS A FROM c").collect()] == ['{"A":"x","b":null,"id":1}']
+
+
+def test_streams(spark, tmp_path):
+    from docquery.streaming import register_stream
+
+    spark.range(100).selectExpr("id", "id % 3 AS g").write.parquet(f"{tmp_path}/in")
+    db = Database(spark)
+    register_stream(db, "events", f"{tmp_path}/in", "id long, g long")
+    for sql, mode, want in (("SELECT id FROM events WHERE g = 1 AND id > 50", "append", 16), ("SELECT g, COUNT(*) AS n FROM events GROUP BY g", "complete", 3)):
+        name = f"out_{mode}"
+        db.query(sql).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
+        assert spark.table(name).count() == want
