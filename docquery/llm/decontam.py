@@ -9,25 +9,32 @@ match must pass the positional bound (the window would begin inside the text)
 and the length bound (and end inside it), and is then verified word by word.
 
 The benchmark is the query set.  It is streamed in blocks of at most
-``block_bytes`` of text; only a block's index is broadcast.  Documents pass
-through once for each block, without a shuffle, so that neither a frequent
-passage nor a hot source can load one task.
+``block_bytes`` of text (a longer item is a block of its own); one block's
+index is broadcast at a time.  Documents pass through once for each block,
+without a shuffle, so that neither a frequent passage nor a hot source can
+load one task.  Of more blocks than one, the hits of each are written, and put
+together by document at the end.
 
 Nulls: a null document or item has no words; a null item id is listed as an
 empty string.  Repeated items are listed with all their ids; repeated
-documents each get their row.  An empty benchmark leaves all documents clean.
+documents, and documents of one id (ties), each get their row.  An empty
+benchmark leaves all documents clean, an empty table of documents gives an
+empty one.  A long text is a slice of its own in a task; windows lie anywhere
+in it.  Columns other than those named are carried as they are, or not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docquery.llm.common import table
+from docquery.llm.common import Scratch, quoted, table
 from docquery.llm.kernels import PUNCTUATION, byte_table, expand, lower_ascii, prefix_hash, range_hash, released, rolling_hash, row_of, slices, words
 
 SHINGLE = 3
@@ -57,7 +64,7 @@ class Index:
     def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
         self.windows: list[bytes] = []
         self.lengths: list[int] = []
-        self.items: list[list[tuple[str, int]]] = []
+        self.items: list[dict[str, None]] = []
         self.shingles: list[np.ndarray] = []
         seen: dict[bytes, int] = {}
         for item, text in items:
@@ -74,10 +81,9 @@ class Index:
                     seen[key] = len(self.windows)
                     self.windows.append(key)
                     self.lengths.append(n)
-                    self.items.append([])
+                    self.items.append({})
                     self.shingles.append(shingles[p : p + n - s + 1])
-                if item not in self.items[seen[key]]:
-                    self.items[seen[key]].append(item)
+                self.items[seen[key]][item] = None
 
     def by_size(self) -> dict[int, np.ndarray]:
         """Distinct shingle hashes for each shingle size in use."""
@@ -147,7 +153,7 @@ def without(raw: bytes, s: np.ndarray, e: np.ndarray, spans: list[dict]) -> str:
 
 def _probe(docs: DataFrame, shared, clean: bool) -> DataFrame:
     """(..., text, n_words, hits) -> the same with n_words set and the hits of one block appended; ``clean`` adds the text without all hits, where it has any."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", clean string" * clean
+    schema = T.StructType([*docs.schema.fields, *[T.StructField("clean", T.StringType())] * clean])
     hits_type = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,21 +212,36 @@ def blocks(items: Iterator, limit: int) -> Iterator[list[tuple[str, str | None]]
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20, carried: list[str] | None = None, clean: bool = False) -> DataFrame:
     """(id, row, text, n_words, hits, clean), row with the columns ``carried``, clean the text without its hits: for every document the word spans that occurrences of each item's windows cover."""
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("id"), *([F.struct(*carried).alias("row")] if carried else []), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
-    source = out
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col).cast("string")).toLocalIterator()
+    source = docs.select(quoted(id_col).alias("id"), *([F.struct(*map(quoted, carried)).alias("row")] if carried else []), quoted(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
+    items = benchmark.select(F.coalesce(quoted(item_col).cast("string"), F.lit("")), quoted(item_text_col).cast("string")).toLocalIterator()
     held = blocks(items, block_bytes)
-    block = next(held, [])
-    while block is not None:
-        after = next(held, None)
+
+    def index_of(block: list[tuple[str, str | None]]) -> Index:
         index = Index(block, size)
         wanted = spark.sparkContext.broadcast(index.by_size())
         counts = {(r.k, r.h % (1 << 64)): r.n for r in _count(source, wanted).collect()} if index.windows else {}
         wanted.unpersist()
         index.order(counts)
-        out = _probe(out, spark.sparkContext.broadcast(index), clean and after is None)
-        block = after
-    return out
+        return index
+
+    block, after = next(held, []), next(held, None)
+    if after is None:
+        return _probe(source, spark.sparkContext.broadcast(index_of(block)), clean)
+    scratch, parts = Scratch(spark, "hits"), []
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    while block is not None:
+        shared = spark.sparkContext.broadcast(index_of(block))
+        found = _probe(source.select("id", key, "text", "n_words", "hits"), shared, False).where("size(hits) > 0")
+        parts.append(scratch.cut(found.select("id", "h", "hits").dropDuplicates(["id", "h"])))
+        shared.unpersist()
+        block, after = after, next(held, None)
+    every = reduce(DataFrame.union, parts).groupBy("id", "h").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    every = scratch.cut(every.select(F.col("id").alias("id_"), F.col("h").alias("h_"), F.col("hits").alias("found")))
+    scratch.prune(0, every)
+    rows = source.join(every, F.col("id").eqNullSafe(F.col("id_")) & (key == F.col("h_")), "left")
+    rows = rows.select(*source.columns[:-1], F.coalesce("found", "hits").alias("hits"))
+    # no index: counts the words, and cuts the hits
+    return _probe(rows, spark.sparkContext.broadcast(index_of([])), clean)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
