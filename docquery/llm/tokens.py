@@ -5,14 +5,17 @@ distinct pre-tokens of the corpus are gathered with their frequencies, the
 pieces of each are counted once, and each document's pre-token frequencies are
 joined to these counts and summed.
 
-A hot key cannot arise: the most frequent pre-tokens, ``frequent`` at most and
-each no longer than ``FREQUENT_BYTES``, are broadcast (so bounded by their
-product) and summed where the document is read; only the rest, the long tail,
-is shuffled to the table of counts and back to its document.
+A hot key cannot arise: the most frequent pre-tokens, ``frequent`` at most, are
+broadcast and summed where the document is read; one of more than
+``KEY_BYTES`` bytes is known by a 128-bit digest, so the broadcast is bounded
+by the product.  Only the rest, the long tail, is shuffled to the table of
+counts and back to its document.
 
 Special strings in a text are handled as the library does by default: an
 occurrence is one token and cuts the text.  Nulls: a null text counts as
-empty, a null id is kept.  Repeated rows each get their row.
+empty, a null id is kept.  Repeated rows, and rows of one id (ties), each get
+their row.  An empty table gives an empty one; a long text is split whole, by
+one task.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +27,25 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docquery.llm.common import Scratch, table
 from docquery.llm.kernels import released
 
 #: The pattern that byte-level BPE vocabularies of this kind are defined with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FREQUENT_BYTES = 64
-HELD = 400_000
+#: Longer pre-tokens are joined by their digest.
+KEY_BYTES = 64
+#: Pre-tokens, and characters of text, that a task gathers before it passes their counts on.
+HELD, HELD_CHARS = 400_000, 1 << 28
+
+
+def key_of(pre_token: str) -> str:
+    """A pre-token, or its digest after a control character, which never shares a pre-token with letters or digits."""
+    return pre_token if len(pre_token) * 4 <= KEY_BYTES or len(raw := pre_token.encode()) <= KEY_BYTES else "\x01" + xxhash.xxh3_128_hexdigest(raw)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -86,23 +98,28 @@ class PreTokens:
 
 
 def pre_token_table(docs: DataFrame, spec) -> DataFrame:
-    """(pre_token, freq, n): every distinct pre-token of the corpus, counted once."""
+    """(pre_token, freq, n): every distinct pre-token of the corpus, by its key, counted once."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, held = PreTokens(spec.value), Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["pre_token", "freq"])
+        chars = 0
         for b in batches:
             for t in b.column(0):
-                held.update(tool.split(t.as_py() or "")[0])
-                if len(held) > HELD:
+                text = t.as_py() or ""
+                chars += len(text)
+                held.update(tool.split(text)[0])
+                if len(held) > HELD or chars > HELD_CHARS:
                     yield flush()
                     held.clear()
+                    chars = 0
         yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = PreTokens(spec.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tool.pieces(b.column(0).to_pylist()), pa.int32())], names=["pre_token", "freq", "n"])
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, texts), pa.string()), b.column(1), pa.array(tool.pieces(texts), pa.int32())], names=["pre_token", "freq", "n"])
 
     found = docs.select("text").mapInArrow(released(gather), "pre_token string, freq long").groupBy("pre_token").agg(F.sum("freq").alias("freq"))
     return found.mapInArrow(released(count), "pre_token string, freq long, n int")
@@ -117,13 +134,12 @@ def token_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
     # The frequencies from which at most ``frequent`` pre-tokens are left, from a histogram of powers of two.
     level = F.floor(F.log2("freq") * 4).cast("int")
-    short = counts.where(F.octet_length("pre_token") <= FREQUENT_BYTES)
     total, least = 0, None
-    for r in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         if total + r["count"] > frequent:
             break
         total, least = total + r["count"], r.level
-    top = {} if least is None else {r.pre_token: r.n for r in short.where(level >= least).select("pre_token", "n").toLocalIterator()}
+    top = {} if least is None else {r.pre_token: r.n for r in counts.where(level >= least).select("pre_token", "n").toLocalIterator()}
     known = spark.sparkContext.broadcast(top)
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -136,13 +152,19 @@ def token_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                 text = t.as_py() or ""
                 tokens, n = tool.split(text)
                 seen = Counter(tokens)
-                rest = [(x, f) for x, f in seen.items() if x not in table_]
+                known_, rest = 0, []
+                for x, f in seen.items():
+                    k = key_of(x)
+                    if k in table_:
+                        known_ += table_[k] * f
+                    else:
+                        rest.append((k, f))
                 rid += [r] * (len(rest) + 1)
                 # no pre-token: a control character and a digit never share one
                 key += [f"\x00{r % 65536}", *(x for x, _ in rest)]
                 freq += [0, *(f for _, f in rest)]
                 size += [len(text.encode())] + [None] * len(rest)
-                base += [n + sum(table_[x] * f for x, f in seen.items() if x in table_)] + [0] * len(rest)
+                base += [n + known_] + [0] * len(rest)
                 ids += [i] + [None] * len(rest)
                 if len(rid) > 50_000:
                     yield rows(rid, ids, key, freq, base, size)
@@ -150,12 +172,12 @@ def token_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
             yield rows(rid, ids, key, freq, base, size)
 
     schema = f"rid long, id {kind}, pre_token string, freq long, base long, n_bytes long"
-    id_type = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
+    id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def rows(rid, ids, key, freq, base, size) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, id_type), pa.array(key, pa.string()), pa.array(freq, pa.int64()), pa.array(base, pa.int64()), pa.array(size, pa.int64())], names=["rid", "id", "pre_token", "freq", "base", "n_bytes"])
 
-    tail = counts if least is None else counts.where((level < least) | (F.octet_length("pre_token") > FREQUENT_BYTES))
+    tail = counts if least is None else counts.where(level < least)
     parts = docs.mapInArrow(released(document), schema).join(tail.select("pre_token", "n"), "pre_token", "left")
     return parts.groupBy("rid").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("base") + F.col("freq") * F.coalesce("n", F.lit(0))).alias("n_tokens")).select("id", "n_bytes", "n_tokens")
 

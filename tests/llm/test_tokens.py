@@ -7,6 +7,7 @@ from docquery.llm.tokens import token_counts
 CASES = [
     (1, "Hello world, it's 2024!  Two  spaces\n\n\tand tabs   "), (2, None), (3, ""), (4, "a<|endoftext|>b <|endoftext|><|endoftext|> c"), (5, "naïve café 東京 ՘ ₏ x՘y 1₏2 🙂🙂    z"),
     (6, "z" * 20000), (7, "\x00\x0012 \x1c\x85 a'll b've <|endoftext"), (7, "same id"), (7, "same id"), (None, "no id"), (8, "word " * 30000), (9, " " * 1000),
+    (10, "-" * 80), (11, "a " + "-" * 80 + " b"), (12, "=" * 300 + "\n" + "-" * 80), (13, "é" * 33 + " " + "é" * 32), (14, "東" * 40),
 ]
 
 
