@@ -10,12 +10,16 @@ sketches still holds the smallest hash of both).
 Nulls and empty texts have an empty sketch; two empty sketches are alike (1),
 an empty and another are not (0).  Repeated rows each get their row.  The next
 document of a row is the row that follows by ascending id, then text; null ids
-come first, and the first row follows the last.
+come first, and the first row follows the last; rows of one id (ties) are
+ordered by a digest of their texts.  An empty table gives an empty one.  The
+whole of a long text is sketched, and its edited text in full.  Columns other
+than id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +29,8 @@ from docquery.llm.common import table
 #: Hashes are kept if their top KEEP_BITS bits are zero: one in 2**KEEP_BITS.
 KEEP_BITS = 2
 SHINGLE = 5
-#: Ranges of ids: one for so many rows, or as many as there are shuffle partitions; every row is compared with all bounds.
-RANGE_ROWS, MOST_RANGES = 20_000, 4_000
+#: Ranges of ids: one for so many rows, or as many as there are shuffle partitions; a row is compared with the square root of their number, twice.
+RANGE_ROWS, MOST_RANGES = 20_000, 40_000
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -78,6 +82,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(common / whole)
 
 
+def range_of(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are x or less: first among every so manieth of them, then among those that follow it."""
+    step = max(1, isqrt(len(cuts)))
+    below = lambda some: F.size(F.filter(some, lambda c: c <= x))
+    if len(cuts) <= 16:
+        return below(F.array(*map(F.lit, cuts))) if cuts else F.lit(0)
+    coarse = below(F.array(*map(F.lit, cuts[::step])))
+    fine = F.array(*[F.array(*map(F.lit, cuts[i + 1 : i + step])) if cuts[i + 1 : i + step] else F.filter(F.array(F.lit(cuts[0])), lambda c: F.lit(False)) for i in range(0, len(cuts), step)])
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + 1 + below(F.get(fine, coarse - 1)))
+
+
 def with_next(docs: DataFrame, order: str, carried: dict[str, Column], parts: int) -> DataFrame:
     """Rows with ``next_<name>`` of the row that follows by ``order`` (nulls first, the first follows the last).
 
@@ -87,9 +102,8 @@ def with_next(docs: DataFrame, order: str, carried: dict[str, Column], parts: in
     end, a copy of the row that begins the next one that has rows.  What is
     broadcast is a table of at most ``parts`` + 256 rows.
     """
-    cuts = docs.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    cuts = docs.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("q")).first().q if parts > 1 else []
+    part = range_of(F.col(order), sorted(set(cuts or [])))
     placed = docs.withColumn("_part", F.when(F.col(order).isNull(), F.conv(F.substring(placed_key(order)[1], 1, 2), 16, 10).cast("int") - 256).otherwise(part))
     first = placed.groupBy("_part").agg(F.min(F.struct(*placed_key(order))).alias("_first"))
     whole = Window.partitionBy(F.lit(0))

@@ -1,9 +1,11 @@
+import bisect
 import hashlib
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
-from docquery.llm.sketch import containment, edited_sketches, likeness, merge, sketch
+from docquery.llm.sketch import containment, edited_sketches, likeness, merge, op8_fracminhash, range_of, sketch
 
 
 def brute(rows):
@@ -59,3 +61,40 @@ def test_sketch_merges(spark):
     ).first()
     low = [h for h in r["all"] if h >> 61 == 0]
     assert r.m == (low or [min(r["all"])]) and r.none == [] and r.null == [] and len(r.x) >= 1
+
+
+def plain(text):
+    """A sketch, by the library that Spark's hash is defined by: each word's hash is the seed of the next."""
+    w = [x for x in re.split(r"[ \t-\r]+", text) if x]
+    found = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+        found.add(h >> 1)
+    low = {h for h in found if h >> 61 == 0}
+    return low or ({min(found)} if found else set())
+
+
+def test_the_query_matches_brute_force(spark, tmp_path):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows = docs + [(-i, t) for i, t in ROWS if i is not None and i not in (7, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = {i: t or "" for i, t in rows}
+    order = sorted(text)
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    show = lambda s: "".join(f"{h:016x}" for h in sorted(s))
+    got = op8_fracminhash(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    edited = {r[0]: r[2] for r in brute(rows)}
+    for r in got:
+        a, b, c = plain(text[r.doc_id]), plain(edited[r.doc_id]), plain(text[order[(order.index(r.doc_id) + 1) % len(order)]])
+        assert (r.fingerprint, r.edited_fingerprint) == (show(a), show(b)) and (r.near_edited, r.near_next) == (share(a, b), share(a, c))
+        assert r.n_chars == len(text[r.doc_id]) and r.edited_sha256 == hashlib.sha256(edited[r.doc_id].encode()).hexdigest()
+
+
+def test_ranges_of_many_cuts(spark):
+    for n in (0, 1, 16, 17, 50, 101):
+        cuts = [3 * i for i in range(n)]
+        got = spark.range(320).select("id", range_of(F.col("id"), cuts).alias("r")).collect()
+        assert all(r.r == bisect.bisect_right(cuts, r.id) for r in got)
