@@ -1,8 +1,8 @@
 """Operator 2: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of each word (letters only, A-Z lower-cased, at
-most SEGMENT bytes at a time), forwards and backwards, and labels every
-position with a distribution over the languages; a document's log
+The network reads the bytes of each word (letters only, A-Z lower-cased; of a
+longer one pieces of about SEGMENT bytes that end with a character), forwards
+and backwards, and labels every position with a distribution over the languages; a document's log
 probabilities are pooled over all positions of all its words.  As the
 recurrence begins anew at each word, equal words have equal labels, so a task
 runs each distinct word once and sums by word counts.  The weights are trained
@@ -181,7 +181,7 @@ class Labels:
 
 
 def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the words of lower-cased texts, long words cut into pieces of SEGMENT bytes."""
+    """Start, end and row of the words of lower-cased texts, long words cut into pieces of about SEGMENT bytes between characters."""
     s, e, rows = words(data, off, NO_LETTER)
     row = row_of(rows, len(s))
     pieces = (e - s + SEGMENT - 1) // SEGMENT
@@ -189,7 +189,10 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         of = np.repeat(np.arange(len(s)), pieces)
         k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         s2 = s[of] + k * SEGMENT
-        return s2, np.minimum(s2 + SEGMENT, e[of]), row[of]
+        for _ in range(3):  # a character's bytes after the first are 10xxxxxx
+            s2 = np.where((k > 0) & (data[s2] & 0xC0 == 0x80), s2 - 1, s2)
+        last = np.append(of[1:] != of[:-1], True)
+        return s2, np.where(last, e[of], np.append(s2[1:], 0)), row[of]
     return s, e, row
 
 
@@ -220,13 +223,19 @@ def training_words(docs: DataFrame, per_language: int, words_per_document: int)
     return {k: sorted(v) for k, v in out.items()}
 
 
+def learn(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, words_per_document: int = 200, steps: int = 900) -> tuple[list[str], Network]:
+    """The languages of the rows where ``train_on`` holds, in order, and the network trained on these rows."""
+    text = F.col(text_col).cast("string")
+    rows = docs.where(train_on & F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("u"))
+    samples = training_words(rows, per_language, words_per_document)
+    return train(samples, steps) if samples else ([], Network(1))
+
+
 def languages(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, words_per_document: int = 200, steps: int = 900) -> DataFrame:
     """(id, lang_pred, score, n_positions) for every row; trains on the rows where ``train_on`` holds."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    rows = docs.where(train_on & F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("u"))
-    samples = training_words(rows, per_language, words_per_document)
-    langs, net = train(samples, steps) if samples else ([], Network(1))
+    langs, net = learn(docs, train_on, id_col, text_col, lang_col, per_language, words_per_document, steps)
     shared = spark.sparkContext.broadcast((langs, net))
     kind = docs.schema[id_col].dataType.simpleString()
 

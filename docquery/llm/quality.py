@@ -193,11 +193,9 @@ def _votes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(released(run), "pattern long")
 
 
-def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep_columns: bool = False, names: tuple[str, str, str, str] = ("score", "posterior", "pattern", "keep")) -> DataFrame:
-    """(id, score, posterior, pattern, keep) for every row, or the rows themselves with these columns; ``names`` renames them, and an input column that is named so is replaced."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+def fit(base: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base(id, text) -> the patterns seen, the posterior of good for each, and the scorer's weights."""
+    spark = base.sparkSession
     counted = sorted((r.pattern, r["count"]) for r in _votes(base).groupBy("pattern").count().collect())
     seen = [x for x in counted if x[0] >= 0]
     patterns, counts = np.array([x[0] for x in seen], dtype=np.int64), np.array([x[1] for x in seen], dtype=float)
@@ -224,7 +222,16 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at, x = rows.column("at").combine_chunks(), rows.column("x").combine_chunks()
     pairs = [(np.array(a.values), np.array(v.values, dtype=float)) for a, v in zip(at, x, strict=True)]
     w = train(pairs, rows.column("label").to_numpy()) if pairs else np.zeros(DIM + 1)
-    weights = spark.sparkContext.broadcast(w)
+    return patterns, good, w
+
+
+def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep_columns: bool = False, names: tuple[str, str, str, str] = ("score", "posterior", "pattern", "keep")) -> DataFrame:
+    """(id, score, posterior, pattern, keep) for every row, or the rows themselves with these columns; ``names`` renames them, and an input column that is named so is replaced."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+    patterns, good, w = fit(base, sample)
+    posterior, weights = spark.sparkContext.broadcast((patterns, good)), spark.sparkContext.broadcast(w)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value = posterior.value
