@@ -12,6 +12,7 @@ from docquery.database import Database
 from docquery.ids import DbConfig
 from docquery.plans.compiler import MISSING
 from docquery.queries_documents import DOCUMENTS
+from docquery.types import MIXED_TYPE
 
 #: Tables and their id columns.
 TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
@@ -188,19 +189,20 @@ def expand_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_column_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A column of values of several primitives: sorted by rank, compared only with its like."""
-    db = Database(spark, DbConfig.none("id"))
-    values = [3, "b", True, None, 1.5, "a", False, 2, [1, 2], {"k": 1}, "B"]
-    db.create("mixed").add_batch([{"id": i, "v": v} for i, v in enumerate(values)])
-    return db.query("SELECT id FROM mixed WHERE v > 1 OR v = 'a' OR v IS NULL OR v IN (TRUE, 'b') ORDER BY v DESC, id")
+    """A column of values of several primitives, made of those of each event: sorted by rank, compared only with its like."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    turn, none = F.pmod("event_id", F.lit(5)), F.lit(None)
+    tagged = lambda rank, b=none, n=none, s=none: F.struct(F.lit(rank).alias("tag"), b.alias("b"), n.alias("n"), s.alias("s")).cast(MIXED_TYPE)
+    value = F.when(turn == 0, tagged(1, n=F.col("user_id"))).when(turn == 1, tagged(2, s=F.col("event_type"))).when(turn == 2, tagged(0, b=F.col("value") > 20)).when(turn == 3, tagged(1, n=F.col("value")))
+    db = Database(spark, DbConfig.none("event_id"))
+    db.register_df("mixed", events.select("event_id", value.alias("v")))
+    return db.query("SELECT event_id FROM mixed WHERE v > 20 OR v = 'click' OR v IS NULL OR v IN (TRUE, 'view') ORDER BY v DESC, event_id")
 
 
 def schema_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema that a collection infers from documents."""
-    db = Database(spark, DbConfig.int("id"))
-    c = db.create("docs")
-    c.add_batch([{"a": 1, "s": "x"}, {"a": 2.5, "b": True}, {"s": None, "o": {"k": 1}, "l": [1]}])
-    return spark.createDataFrame([(k, v.ty.value, v.nullable) for k, v in c.schema().fields.items()], "field string, type string, nullable boolean")
+    """The schema of the events, as their collection infers it."""
+    fields = open_tables(spark, sf_dir).get("events").schema().fields
+    return spark.createDataFrame([(k, v.ty.value, v.nullable) for k, v in fields.items()], "field string, type string, nullable boolean")
 
 
 def document_api(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +219,8 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "expand_n1": (expand_n1, "SELECT o_orderkey, CAST(count(c_custkey) AS BIGINT) AS n, min(c_name) AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_orderkey"),
     "expand_1n": (expand_1n, "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
     "expand_chain": (expand_chain, "SELECT r_name, CAST(count(DISTINCT n_nationkey) AS BIGINT) AS nations, CAST(count(c_custkey) AS BIGINT) AS customers FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name"),
-    "mixed_column_sort": (mixed_column_sort, "SELECT unnest([1::BIGINT, 5, 0, 7, 4, 2, 3]) AS id"),
-    "schema_infer": (schema_infer, "SELECT * FROM (VALUES ('id', 'Int', FALSE), ('a', 'Float', TRUE), ('s', 'String', TRUE), ('b', 'Bool', TRUE), ('l', 'Array', FALSE), ('o', 'Object', FALSE)) t(field, type, nullable)"),
+    "mixed_column_sort": (mixed_column_sort, "SELECT event_id FROM events WHERE CASE event_id % 5 WHEN 0 THEN user_id > 20 WHEN 1 THEN event_type IN ('click', 'view') WHEN 4 THEN TRUE ELSE value > 20 END ORDER BY event_id"),
+    "schema_infer": (schema_infer, "SELECT column_name AS field, CASE column_type WHEN 'BIGINT' THEN 'Int' WHEN 'DOUBLE' THEN 'Float' ELSE 'String' END AS type, \"null\" = 'YES' AS nullable FROM (DESCRIBE SELECT * FROM events)"),
     "document_api": (document_api, "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'RENAMED' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey > 2 AND n_nationkey <> 4 UNION ALL SELECT 99, 'NEW', 1"),
 }
 

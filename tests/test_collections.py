@@ -187,3 +187,14 @@ def test_streams(spark, tmp_path):
         name = f"out_{mode}"
         db.query(sql).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
         assert spark.table(name).count() == want
+
+
+def test_mixed_column_sort_and_schema(spark):
+    db = Database(spark, DbConfig.none("id"))
+    values = [3, "b", True, None, 1.5, "a", False, 2, [1, 2], {"k": 1}, "B"]
+    db.create("mixed").add_batch([{"id": i, "v": v} for i, v in enumerate(values)])
+    found = db.query("SELECT id FROM mixed WHERE v > 1 OR v = 'a' OR v IS NULL OR v IN (TRUE, 'b') ORDER BY v DESC, id").collect()
+    assert [r.id for r in found] == [1, 5, 0, 7, 4, 2, 3]
+    c = Database(spark, DbConfig.int("id")).create("docs")
+    c.add_batch([{"a": 1, "s": "x"}, {"a": 2.5, "b": True}, {"s": None, "o": {"k": 1}, "l": [1]}])
+    assert {k: (v.ty.value, v.nullable) for k, v in c.schema().fields.items()} == {"id": ("Int", False), "a": ("Float", True), "s": ("String", True), "b": ("Bool", True), "l": ("Array", False), "o": ("Object", False)}
