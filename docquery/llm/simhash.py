@@ -11,6 +11,10 @@ the edges within the radius.  Trees stand where their shard was shuffled to
 and are not broadcast: the trees of all documents have no size bound.  A shard
 emits a star for each group it joins up, never all pairs.
 
+``near_duplicates``, the stage of the pipeline, links by Jaccard similarity:
+wider SimHashes in the BK-trees of shards keyed by shingles, and a comparison
+of the sets that the trees find.
+
 Nulls: a null text counts as empty; an empty text has fingerprint zero.  Rows
 with a null id get a fingerprint and the component of its class, whose number
 is null if no member has an id.  Repeated rows are rows of one node.
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import islice, repeat
-from math import log
+from math import acos, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,15 @@ from pyspark.sql import functions as F
 
 from docquery.llm.common import Scratch, fresh, quoted, table
 from docquery.llm.components import components
-from docquery.llm.kernels import SPACE, digests, joined, lower_ascii, mix, released, rolling_hash, row_of, slices, sound_hash, words
+from docquery.llm.kernels import SPACE, digests, expand, joined, lower_ascii, mix, released, rolling_hash, row_of, slices, sound_hash, words
 
 CHUNK = 1 << 15
 #: Values of a shard's sets that are multiplied at once.
 TERMS = 4096
+#: Words of 64 bits in a fingerprint of near_duplicates.
+FP_WORDS = 4
+#: Pairs of a shard for each row in them, above which their sets are counted by products.
+DENSE = 8
 
 
 def simhash(text: bytes, size: int = 3) -> int:
@@ -70,17 +78,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), f"id {kind}, fp long")
 
 
+def set_fingerprints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of FP_WORDS * 64 bits of each set of 32-bit shingle hashes flat[at[i]:at[i + 1]], a row each."""
+    n = len(at) - 1
+    ones = np.zeros((n, FP_WORDS * 64), dtype=np.int64)
+    for lo in range(int(at[0]), int(at[-1]), CHUNK):
+        value = flat[lo : min(lo + CHUNK, int(at[-1]))].view(np.uint32).astype(np.uint64)
+        first, last = np.searchsorted(at, lo, side="right") - 1, np.searchsorted(at, lo + len(value))
+        cut = np.clip(at[first : last + 1], lo, lo + len(value)) - lo
+        held = np.flatnonzero(np.diff(cut))
+        for k in range(FP_WORDS):
+            bits = np.unpackbits(mix(value + np.uint64(k + 1 << 32)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[first + held, 64 * k : 64 * k + 64] += np.add.reduceat(bits, cut[held], axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64)
+
+
+def radius_of(threshold: float) -> int:
+    """Bits within which set_fingerprints of sets of that Jaccard similarity lie: 6.6 standard deviations over the mean, 90 of 256 for 0.8.
+
+    Large sets differ in a bit with probability acos(2t / (1 + t)) / pi, small
+    ones, of t / (1 - t) values and one more, with up to sqrt(pi / 2) times that.
+    """
+    bits, p = FP_WORDS * 64, min(0.5, acos(2 * threshold / (1 + threshold)) / sqrt(2 * pi))
+    return min(bits, int(bits * p + 6.6 * sqrt(bits * p * (1 - p))))
+
+
+def bits_apart(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of the fingerprints at a and b; one of several words is a row."""
+    d = np.bitwise_count(fp[a] ^ fp[b])
+    return d.astype(np.int64) if fp.ndim == 1 else d.sum(1, dtype=np.int64)
+
+
+def edge_span(fp: np.ndarray) -> int:
+    """How many distances there are."""
+    return 64 * (1 if fp.ndim == 1 else fp.shape[1]) + 1
+
+
 def forest(fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """BK-trees of all shards, built level by level.
 
     ``root`` has for each element the index of its tree's root.  Returns the
-    sorted edge keys parent * 65 + distance, and the child at each.
+    sorted edge keys parent * edge_span + distance, and the child at each.
     """
+    span = edge_span(fp)
     cur = root.copy()
     left = np.flatnonzero(root != np.arange(len(fp)))
     keys, children = [], []
     while len(left):
-        key = cur[left] * 65 + np.bitwise_count(fp[left] ^ fp[cur[left]])
+        key = cur[left] * span + bits_apart(fp, left, cur[left])
         edge, first, which = np.unique(key, return_index=True, return_inverse=True)
         child = left[first]
         keys.append(edge)
@@ -99,6 +144,7 @@ def forest(fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def search(fp: np.ndarray, root: np.ndarray, trees: tuple[np.ndarray, np.ndarray], radius: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query, node) within the radius and in one tree, query > node, a block of queries at a time."""
     keys, children = trees
+    span = edge_span(fp)
     sizes = np.bincount(root, minlength=len(fp))[root]
     start = 0
     while start < len(fp):
@@ -106,12 +152,12 @@ def search(fp: np.ndarray, root: np.ndarray, trees: tuple[np.ndarray, np.ndarray
         query = np.arange(start, stop)
         node = root[query]
         while len(query):
-            d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
+            d = bits_apart(fp, query, node)
             hit = (d <= radius) & (query > node)
             if hit.any():
                 yield query[hit], node[hit]
-            lo = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), side="right") - lo
+            lo = np.searchsorted(keys, node * span + np.maximum(d - radius, 0))
+            n = np.searchsorted(keys, node * span + np.minimum(d + radius, span - 1), side="right") - lo
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             query, node = np.repeat(query, n), children[at]
         start = stop
@@ -258,14 +304,14 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return common >= threshold * (len(a) + len(b) - common)
 
 
-def alike(flat: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a, b), a > b, of the sets flat[at[i]:at[i + 1]] whose Jaccard similarity is at least the threshold.
+def alike(flat: np.ndarray, at: np.ndarray, threshold: float, of: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b), a > b, of the sets flat[at[i]:at[i + 1]] whose Jaccard similarity is at least the threshold; with ``of``, those of its pairs.
 
     Every pair's common values are counted: values of many sets by products of
     0/1 matrices, the others by the pairs of rows that hold one.
     """
     n = len(at) - 1
-    if n <= 3:
+    if n <= 3 and of is None:
         pairs = [(i, j) for i in range(n) for j in range(i) if similar(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], threshold)]
         return np.array([i for i, _ in pairs], dtype=np.int64), np.array([j for _, j in pairs], dtype=np.int64)
     sizes = np.diff(at).astype(np.int64)
@@ -293,29 +339,83 @@ def alike(flat: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarra
             break
         # rows of a value ascend
         np.add.at(common, (r[k:][same], r[: len(r) - k][same]), 1)
+    if of is not None:
+        a, b = of
+        own = (common[a, b] > 0) & (common[a, b] >= threshold * (sizes[a] + sizes[b] - common[a, b]))
+        return a[own], b[own]
     a, b = np.nonzero(np.tril((common > 0) & (common >= threshold * (sizes[:, None] + sizes[None, :] - common)), -1))
     return a, b
 
 
+def merged(flat: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, at_once: int = 1 << 20) -> np.ndarray:
+    """Which of the pairs (a, b) of sets have a Jaccard similarity of the threshold or more; the two sets of each are merged."""
+    sizes = np.diff(at).astype(np.int64)
+    out = np.zeros(len(a), dtype=bool)
+    fit = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]))
+    ends = np.cumsum(sizes[a[fit]] + sizes[b[fit]])
+    start = 0
+    while start < len(fit):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once)))
+        pair = fit[start:stop]
+        side = np.concatenate([a[pair], b[pair]])
+        key = flat[expand(at[side], sizes[side])].view(np.uint32).astype(np.int64)
+        key += np.repeat(np.tile(np.arange(len(pair)) << 32, 2), sizes[side])
+        key.sort()
+        common = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(pair))
+        out[pair] = (common > 0) & (common >= threshold * (sizes[a[pair]] + sizes[b[pair]] - common))
+        start = stop
+    return out
+
+
+def verified(flat: np.ndarray, at: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b), each in one shard, whose sets have a Jaccard similarity of the threshold or more.
+
+    Where a shard has many pairs for its rows, these rows' sets are counted at once.
+    """
+    order = np.argsort(root[a], kind="stable")
+    a, b = a[order], b[order]
+    begins = np.flatnonzero(np.append(True, root[a][1:] != root[a][:-1])[: len(a)])
+    ok = np.zeros(len(a), dtype=bool)
+    few = np.ones(len(a), dtype=bool)
+    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(a)], strict=True):
+        rows, where = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+        if hi - lo <= DENSE * len(rows):
+            continue
+        few[lo:hi] = False
+        sizes = np.diff(at).astype(np.int64)[rows]
+        x, y = where[: hi - lo], where[hi - lo :]
+        p, q = alike(flat[expand(at[rows], sizes)], np.append(0, np.cumsum(sizes)), threshold, (x, y))
+        hit = np.zeros((len(rows), len(rows)), dtype=bool)
+        hit[p, q] = True
+        ok[lo:hi] = hit[x, y]
+    few = np.flatnonzero(few)
+    ok[few] = merged(flat, at, a[few], b[few], threshold)
+    return a[ok], b[ok]
+
+
 def shard_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows(shard, base, node, set), whole shards sorted -> (base, u, v): each node's link to its group's hub, the node with most links in the shard (ties: the first)."""
+    """rows(shard, base, node, fp, set), whole shards sorted -> (base, u, v): each node's link to its group's hub, the node with most links in the shard (ties: the first).
+
+    The links of a shard are those its BK-tree finds within the radius and the sets bear out.
+    """
+    radius = radius_of(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_shard(batches, 4096):
-            first, sets, node = roots(t.column("shard").to_numpy()), t.column("set").combine_chunks(), t.column("node").to_numpy()
+            root, sets, node = roots(t.column("shard").to_numpy()), t.column("set").combine_chunks(), t.column("node").to_numpy()
+            fp = np.ascontiguousarray(t.column("fp").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(len(node), -1)
             at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
             parent, degree = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
-            begins = np.unique(first)
-            for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(node)], strict=True):
-                a, b = alike(flat, at[lo : hi + 1], threshold)
-                degree += np.bincount(np.concatenate([a, b]) + lo, minlength=len(node))
-                hook(parent, a + lo, b + lo)
+            for a, b in search(fp, root, forest(fp, root), radius, 1 << 18):
+                a, b = verified(flat, at, root, a, b, threshold)
+                degree += np.bincount(np.concatenate([a, b]), minlength=len(node))
+                hook(parent, a, b)
             order = np.lexsort((-degree, parent))
             hub = order[np.searchsorted(parent[order], parent)]
             own = np.flatnonzero((hub != np.arange(len(node))) & (degree > 0))
             yield pa.RecordBatch.from_arrays([t.column("base").combine_chunks().take(pa.array(own)), pa.array(node[own]), pa.array(node[hub[own]])], names=["base", "u", "v"])
 
-    return rows.select("shard", "base", "node", "set").mapInArrow(released(run), "base long, u long, v long")
+    return rows.select("shard", "base", "node", "fp", "set").mapInArrow(released(run), "base long, u long, v long")
 
 
 def block_pairs(rows: DataFrame, block: int, widest: int) -> DataFrame:
@@ -343,9 +443,15 @@ def block_pairs(rows: DataFrame, block: int, widest: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, keys: int = 6, shard_size: int = 1024, kept_col: str = "_kept") -> DataFrame:
     """docs with ``kept_col``: true for one row of each group of texts linked by Jaccard similarity ``threshold`` of ``size``-word shingles, the first by id.
 
-    64 SimHash bits at a similarity of 0.8 are too far apart for blocks of
-    equal bits, and no radius bounds them for sets.  So here shards are keyed
-    by minimum shingle hashes: two such texts share one of ``keys`` with
+    Fingerprints are SimHashes of 256 bits over each text's set of shingles;
+    in every shard they form a BK-tree, whose search within ``radius_of`` the
+    threshold gives the pairs, and the sets of these are compared.  Two sets
+    of similarity 0.8 differ in a bit with probability 0.1875 at most (4
+    shingles, and one more) and 0.15 if they are large, so that fewer than one
+    of 10 ** 9 such pairs is beyond its 90 bits.
+
+    Texts so far apart agree on no block of bits, so shards are keyed by
+    minimum shingle hashes: two such texts share one of ``keys`` with
     probability 1 - (1 - threshold) ** keys, 0.99994 by default; no other step
     loses a link.  Texts of equal words are one node from the start.
 
@@ -384,7 +490,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             for part, data, off in slices(b, "text"):
                 _, _, value, cut = signatures(data, off, size, 0)
                 sets = [np.unique(value[a:z]).view(np.int32) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "set"])
+                flat, at = np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets]))
+                fps = set_fingerprints(flat, at).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(x.astype(np.int32)), pa.array(y)) for x, y in ((np.arange(len(sets) + 1) * FP_WORDS, fps.ravel()), (at, flat))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["node", "fp", "set"])
 
     def none(df: DataFrame) -> bool:
         return not df.limit(1).count()
@@ -398,7 +507,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     top = flat.join(shared.hint("shuffle_hash"), "base", "left").groupBy("node").agg(F.max(F.struct("n", "base")).alias("top")).where("top.n is not null")
     top = scratch.cut(top.select("node", "top.n", "top.base"))
     wanted = top.join(nodes, "node").select("node", F.col("first._id").alias("i"), F.col("first._h").alias("j"))
-    sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(released(gather), "node long, set array<int>")
+    sets = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("j"))).select("node", "text").mapInArrow(released(gather), "node long, fp array<long>, set array<int>")
     members = scratch.cut(sets.dropDuplicates(["node"]))
 
     def solve(rows: DataFrame) -> DataFrame:
